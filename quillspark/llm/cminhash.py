@@ -6,7 +6,7 @@ contiguous stretch of the second permutation, and a signature is the minimum of
 
 Documents of equal sets are one class. Classes that share a band are candidates. Within a band's group
 only pairs with a leader are verified; the groups whose members are all known to be connected need no
-more work, and after a few rounds with other leaders every pair that is still open is verified. So a
+more work. Rounds with other leaders follow until few pairs are open, and these are all verified. So a
 group of copies costs work in proportion to its size, and no link between components is missed.
 """
 
@@ -36,7 +36,8 @@ class Settings:
     rows: int = 4
     ring_bits: int = 20
     percent: int = 75
-    rounds: int = 4
+    rounds: int = 8
+    leaders: int = 4
     seed: int = 5
     broadcast_rows: int = 500_000
 
@@ -180,10 +181,11 @@ class _Search:
 
     @staticmethod
     def few(members: DataFrame) -> bool:
-        """Whether all pairs within bands are few for the number of members."""
-        sizes = members.groupBy("band").agg(F.count("rep").alias("k"))
-        pairs, rows = sizes.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.sum("k")).first()
-        return (pairs or 0) <= 4 * (rows or 0)
+        """Whether the pairs of different components within bands are few for the number of members."""
+        parts = members.groupBy("band", "component").agg(F.count("rep").alias("k"))
+        bands = parts.groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        pairs, rows = bands.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.sum("k")).first()
+        return (pairs or 0) <= (rows or 0)
 
     def untested(self, pairs: DataFrame) -> DataFrame:
         return pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -193,7 +195,7 @@ class _Search:
         percent, members = self.s.percent, self.members
         for k in range(self.s.rounds):
             members = self.open_members(members)
-            if self.few(members):
+            if k and self.few(members):
                 break
             order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
             leaders = members.groupBy("band").agg(F.min_by(F.struct("rep", "n", "component"), order).alias("lead"))
@@ -201,11 +203,12 @@ class _Search:
                 (F.col("component") != F.col("lead.component")) & _long_enough(F.col("n"), F.col("lead.n"), percent)
             )
             pairs = pairs.select(
-                "rep", F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"), order.alias("o")
+                "rep", F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"), F.xxhash64("lead.rep").alias("o")
             )
-            # a member meets one new leader a round
-            one = self.untested(pairs.distinct()).groupBy("rep").agg(F.min(F.struct("a", "b")).alias("p"))
-            pairs = materialise(self.spark, one.select("p.a", "p.b").distinct(), "pairs")
+            # a member meets a few new leaders a round; it has one in each of its bands at most
+            met = F.slice(F.sort_array(F.collect_set(F.struct("o", "a", "b"))), 1, self.s.leaders)
+            met = self.untested(pairs.distinct()).groupBy("rep").agg(met.alias("met"))
+            pairs = materialise(self.spark, met.select(F.explode("met").alias("p")).select("p.a", "p.b").distinct(), "pairs")
             if pairs.isEmpty():
                 break
             self.verify(pairs)
