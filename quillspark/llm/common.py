@@ -34,9 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again, which cuts its lineage."""
+def materialise(spark: SparkSession, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it again, which cuts its lineage.
+
+    ``small``: the rows are known to be few, so that a few files hold them."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df = df.coalesce(8) if small else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
