@@ -106,12 +106,17 @@ class Piece:
         if n < 2:
             return symbols
         symbols = symbols[:]
-        if n <= 24:
-            while len(symbols) > 1:
-                rank, k = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:])))
-                if rank == 1 << 60:
-                    break
+        if n <= 64:
+            none, get = 1 << 60, ranks.get
+            open_ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
+            while open_ranks and (best := min(open_ranks)) < none:
+                k = open_ranks.index(best)
                 symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                del open_ranks[k]
+                if k:
+                    open_ranks[k - 1] = get((symbols[k - 1], symbols[k]), none)
+                if k < len(open_ranks):
+                    open_ranks[k] = get((symbols[k], symbols[k + 1]), none)
             return symbols
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
@@ -156,7 +161,7 @@ class Piece:
 class Encoder:
     """Text in, token ids out as soon as they are stable. ``feed`` takes parts of any size."""
 
-    def __init__(self, model: Model, most_known: int = 150_000, long: int = 512):
+    def __init__(self, model: Model, most_known: int = 400_000, long: int = 512):
         self.model, self.long = model, long
         self.alphabet = byte_alphabet()
         self.known: dict[str, tuple[int, ...]] = {}
