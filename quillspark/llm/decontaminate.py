@@ -9,8 +9,8 @@ the item's own size with the most shingles in common is compared by weighted Jac
 with counts as weights.
 
 A window that is similar enough shares six shingles of seven with the item, so at least 0.85 of its words
-are words of items; fingerprinted windows, which may lie and end a little beside it, keep 0.77. Windows
-with less than ``known_share`` of such words are passed over, which loses nothing.
+are words of the item; fingerprinted windows, which may lie and end a little beside it, keep 0.77. Windows
+with less than ``known_share`` of words of any item of the size class are passed over, which loses nothing.
 
 The radius covers what a similarity of 0.75 leaves of a passage: five-word shingles lose 14 per cent only
 if about one word in thirty changes, so the words' fingerprints stay within some fifteen bits.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shingles import WIDTH, Words, mix, shingles
 
-_KNOWN_BITS = 22
+_KNOWN_BITS = 18
 _PUNCTUATION = b".,;:!?\"'()[]{}"
 
 
@@ -63,6 +63,11 @@ def _prefix_sums(bits: np.ndarray, kind: type) -> np.ndarray:
     return sums
 
 
+def _slots(words: np.ndarray) -> np.ndarray:
+    """Places of words in a bitmap; words that share one only let more windows through."""
+    return (words >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64)
+
+
 class Index:
     """Fingerprints and shingles of benchmark items, grouped by size class."""
 
@@ -70,26 +75,25 @@ class Index:
         self.s = s
         words = Words(_PUNCTUATION)
         self.items: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+        groups: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for item_id, text in items:
             w = words((text or "").encode())
             if len(w):
                 size = max(1, round(s.size_step ** round(np.log(len(w)) / np.log(s.size_step))))
                 fingerprint = np.packbits(2 * _bits(w).sum(0, dtype=np.int64) > len(w)).view(np.uint16)
-                groups.setdefault(size, []).append((len(self.items), fingerprint))
+                groups.setdefault(size, []).append((len(self.items), fingerprint, w))
                 self.items.append((item_id, len(w), *np.unique(shingles(w), return_counts=True)))
-        known = np.concatenate([words(text.encode()) for _, text in items if text] or [np.zeros(0, np.uint64)])
-        self.known = np.zeros(1 << _KNOWN_BITS, bool)
-        self.known[(known >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64)] = True
         pairs = [1 << i | 1 << j for i in range(16) for j in range(i)] if s.near_bits >= 2 else []
         flips = np.array([0, *(1 << i for i in range(16) if s.near_bits >= 1), *pairs], np.uint16)
         self.groups = []
         for size, members in sorted(groups.items()):
-            prints = np.stack([f for _, f in members])
+            prints = np.stack([f for _, f, _ in members])
             tables = np.zeros((8, 65536), bool)
             for b in range(8):
                 tables[b, (prints[:, b, None] ^ flips[None, :]).ravel()] = True
-            self.groups.append((size, [m for m, _ in members], prints, tables))
+            known = np.zeros(1 << _KNOWN_BITS, bool)
+            known[_slots(np.concatenate([w for _, _, w in members]))] = True
+            self.groups.append((size, [m for m, _, _ in members], prints, tables, known))
 
     def find(self, words: np.ndarray) -> list[tuple[int, float, int]]:
         """(item_id, similarity, first word) of the best window for each item that the text holds."""
@@ -99,14 +103,13 @@ class Index:
             return []
         radius, largest = 8 * (self.s.near_bits + 1) - 1, self.groups[-1][0]
         kind = np.uint8 if largest < 256 else np.uint32
-        known = self.known[(words >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64)]
-        known = np.concatenate(([0], np.cumsum(known, dtype=np.int32)))
         for start in range(0, max(1, n - largest + 1), self.s.chunk):
             part = words[start : start + self.s.chunk + largest]
-            here, sums = known[start : start + len(part) + 1], None
-            for size, members, prints, tables in self.groups:
+            slots, sums, here = _slots(part), None, np.zeros(len(part) + 1, np.int32)
+            for size, members, prints, tables, known in self.groups:
                 g = min(size, len(part))
                 stride = max(1, size // self.s.stride)
+                np.cumsum(known[slots], dtype=np.int32, out=here[1:])
                 ends = here[g::stride]
                 at = np.flatnonzero(ends - here[: len(ends) * stride : stride] >= self.s.known_share * g) * stride
                 if not len(at):
