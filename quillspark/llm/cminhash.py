@@ -6,8 +6,11 @@ contiguous stretch of the second permutation, and a signature is the minimum of
 
 Documents of equal sets are one class. Classes that share a band are candidates. Within a band's group
 only pairs with a leader are verified; the groups whose members are all known to be connected need no
-more work. Rounds with other leaders follow until few pairs are open, or three rounds are done, and these are all verified. So a
-group of copies costs work in proportion to its size, and no link between components is missed.
+more work. Rounds with other leaders follow until few pairs are open, or ``rounds`` are done. What is then
+open is verified in full: all pairs of different components in bands of few such pairs; in crowded bands
+those pairs that share a shingle among the rarest of both, so many that no similar pair can do without
+(prefix filtering). So a group of copies, or of texts just short of similar, costs work in proportion to
+its size, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -30,14 +33,19 @@ class Settings:
     """Bands of ``rows`` coordinates: a pair of similarity s shares one with chance 1 - (1 - s**rows)**bands.
 
     32 bands of 4 find a pair of similarity 0.75 but for a chance of 5e-6. ``percent``: least similarity.
+    ``crowd``: a band of more open pairs than so many a member is searched by rare shingles. ``growth``: ratio
+    of set sizes in one size class of that search. ``slot_bits``: shingles are ranked by counts of 2**slot_bits slots.
     """
 
     bands: int = 32
     rows: int = 4
     ring_bits: int = 20
     percent: int = 75
-    rounds: int = 3
+    rounds: int = 2
     leaders: int = 6
+    crowd: int = 8
+    growth: float = 1.05
+    slot_bits: int = 20
     seed: int = 5
     broadcast_rows: int = 500_000
 
@@ -104,6 +112,54 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def rare_prefixes(sets: DataFrame, counts: np.ndarray, s: Settings) -> DataFrame:
+    """doc_id, n, shingle, place, level, longer: the rarest shingles of each set of ``sets`` (doc_id, shingles).
+
+    Two sets of sizes n <= m are similar only if they share least = ceil(p (n + m) / (100 + p)) shingles. With
+    all shingles in one order, the first n - least + 1 of one and m - least + 1 of the other then share one.
+    A set is a shorter one at its own size level, and a longer one (``longer``) at each level that its
+    partners may have, with as many shingles as the least partner of the level asks for. ``counts``: for each
+    slot of shingles, how often they occur; the order is by that count and then by shingle.
+    """
+    p, step = s.percent, float(np.log(s.growth))
+    shared, mask = sets.sparkSession.sparkContext.broadcast(counts), np.int64(len(counts) - 1)
+
+    def level(n: int) -> int:
+        return int(np.log(n) / step)
+
+    def least(n: int, m: int) -> int:
+        return -(-p * (n + m) // (100 + p))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            ids, parts = b.column("doc_id").to_pylist(), []
+            for doc_id, found in zip(ids, b.column("shingles")):
+                found = found.values.to_numpy(zero_copy_only=False)
+                n = len(found)
+                found = found[np.lexsort((found, counts[found & mask]))[: n - -(-p * n // 100) + 1]]
+                first = -(-p * n // 100)
+                takes = [(level(n), False, n - least(n, n) + 1)]
+                for at in range(level(first), level(n) + 1):
+                    shortest = max(first, int(np.exp(at * step)) - 1)  # one less, for rounding
+                    takes.append((at, True, n - least(n, min(shortest, n)) + 1))
+                for at, longer, size in takes:
+                    size = min(size, len(found))
+                    parts.append((np.full(size, doc_id), np.full(size, n), found[:size], np.arange(1, size + 1), np.full(size, at), np.full(size, longer)))
+                if sum(len(x[0]) for x in parts) > 200_000:
+                    yield batch(parts)
+                    parts = []
+            if parts:
+                yield batch(parts)
+
+    def batch(parts: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        columns = [pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*parts), kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "shingle", "place", "level", "longer"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, n long, shingle long, place int, level int, longer boolean")
+
+
 def components(spark: SparkSession, links: DataFrame, broadcast_rows: int) -> DataFrame:
     """a, b (the least id reachable) for every id of ``links`` (a, b) that isn't the least itself.
 
@@ -190,6 +246,42 @@ class _Search:
         pairs, rows = bands.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.sum("k")).first()
         return (pairs or 0) <= 4 * (rows or 0)
 
+    def split(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of the bands with few open pairs, and rep, component of those of the crowded bands."""
+        parts = members.groupBy("band", "component").agg(F.count("rep").alias("k"))
+        bands = parts.groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        crowded = bands.where(F.col("k") * F.col("k") - F.col("same") > 2 * self.s.crowd * F.col("k")).select("band")
+        crowded = sized(materialise(self.spark, crowded, "crowded"), self.s.broadcast_rows)
+        crowd = members.join(crowded, "band", "left_semi").select("rep", "component").distinct()
+        return members.join(crowded, "band", "left_anti"), materialise(self.spark, crowd, "crowd")
+
+    def rare_pairs(self, crowd: DataFrame) -> DataFrame:
+        """Pairs (a, b) of ``crowd`` (rep, component) of different components that share a shingle where
+        similar sets must; a superset of the similar pairs."""
+        s = self.s
+        crowd = sized(crowd, s.broadcast_rows).withColumnRenamed("rep", "doc_id")
+        sets = materialise(self.spark, self.sets.join(crowd, "doc_id", "left_semi"), "crowd-sets")
+        counts = np.zeros(1 << s.slot_bits, np.int64)
+        slot = F.col("shingle").bitwiseAND((1 << s.slot_bits) - 1)
+        # bounded by the number of slots, whatever the input
+        slots = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("slot")).count().toArrow()
+        counts[slots["slot"].to_numpy()] = slots["count"].to_numpy()
+        rows = materialise(self.spark, rare_prefixes(sets, counts, s).join(crowd, "doc_id"), "prefixes")
+        # of a shingle's rows, those of its largest component meet only the others
+        groups = rows.groupBy("shingle", "level", "component").agg(F.count("n").alias("k"))
+        groups = groups.groupBy("shingle", "level").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("k").alias("parts"))
+        groups = materialise(self.spark, groups.where("parts > 1").drop("parts"), "shared-shingles")
+        rows = rows.join(groups, ["shingle", "level"]).withColumn("most", F.col("component") == F.col("major"))
+        short = rows.where("not longer").select("shingle", "level", "most", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "component")))
+        meets = F.explode(F.when(F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+        long = rows.where("longer").select("shingle", "level", meets.alias("most"), *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "place", "component")))
+        least = F.ceil(F.lit(s.percent) * (F.col("n_a") + F.col("n_b")) / (100 + s.percent) - 1e-9)
+        right = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
+        right &= (F.col("component_a") != F.col("component_b")) & _long_enough(F.col("n_a"), F.col("n_b"), s.percent)
+        right &= (F.col("place_a") <= F.col("n_a") - least + 1) & (F.col("place_b") <= F.col("n_b") - least + 1)
+        found = short.join(long, ["shingle", "level", "most"]).where(right)
+        return found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
+
     def untested(self, pairs: DataFrame) -> DataFrame:
         return pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti")
 
@@ -215,8 +307,8 @@ class _Search:
             if pairs.isEmpty():
                 break
             self.verify(pairs)
-        members = self.open_members(members)
-        a, b = members.alias("a"), members.alias("b")
+        few, crowd = self.split(self.open_members(members))
+        a, b = few.alias("a"), few.alias("b")
         pairs = a.join(
             b,
             (F.col("a.band") == F.col("b.band"))
@@ -224,7 +316,10 @@ class _Search:
             & (F.col("a.component") != F.col("b.component"))
             & _long_enough(F.col("a.n"), F.col("b.n"), percent),
         )
-        pairs = self.untested(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
+        pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+        if not crowd.isEmpty():
+            pairs = pairs.union(self.rare_pairs(crowd))
+        pairs = self.untested(pairs.distinct())
         pairs = materialise(self.spark, pairs, "pairs")
         if not pairs.isEmpty():
             self.verify(pairs)

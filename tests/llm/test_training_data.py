@@ -296,6 +296,22 @@ def test_near_duplicates_chains_and_groups(spark):
     assert got == want and len(set(want.values())) > 12
 
 
+def test_near_duplicates_of_a_crowd_just_short_of_similar(spark):
+    dice = random.Random(2)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for n in range(150):
+        words = base[:]
+        for i in dice.sample(range(120), dice.choice((2, 5, 6, 7, 8))):
+            words[i] = dice.choice((f"x{dice.random()}", f"y{i}"))
+        rows.append((n, " ".join(words[: 120 - dice.choice((0, 0, 9, 25))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components({i: shingle_set(t) for i, t in rows})
+    for settings in (cminhash.Settings(crowd=0), cminhash.Settings(crowd=0, rounds=0), cminhash.Settings(crowd=2, growth=1.3, slot_bits=4)):
+        got = {r.doc_id: r.component_id for r in cminhash.near_duplicates(spark, docs, settings).collect()}
+        assert got == want
+    assert len(set(want.values())) > 20
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in cminhash.near_duplicates(spark, odd).collect()), key=str)
     want = {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (3, 6), 7: (3, 6), 8: (2, 8), 9: (1, 9), 10: (1, 10)}
