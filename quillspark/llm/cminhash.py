@@ -272,14 +272,16 @@ class _Search:
         groups = groups.groupBy("shingle", "level").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("k").alias("parts"))
         groups = materialise(self.spark, groups.where("parts > 1").drop("parts"), "shared-shingles")
         rows = rows.join(groups, ["shingle", "level"]).withColumn("most", F.col("component") == F.col("major"))
-        short = rows.where("not longer").select("shingle", "level", "most", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "component")))
-        meets = F.explode(F.when(F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
-        long = rows.where("longer").select("shingle", "level", meets.alias("most"), *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "place", "component")))
+        rows = materialise(self.spark, rows, "shared-rows")
+        columns = ("doc_id", "n", "place", "component", "most")
+        short = rows.where("not longer").select("shingle", "level", *(F.col(c).alias(f"{c}_a") for c in columns))
+        long = rows.where("longer").select("shingle", "level", *(F.col(c).alias(f"{c}_b") for c in columns))
         least = F.ceil(F.lit(s.percent) * (F.col("n_a") + F.col("n_b")) / (100 + s.percent) - 1e-9)
         right = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
         right &= (F.col("component_a") != F.col("component_b")) & _long_enough(F.col("n_a"), F.col("n_b"), s.percent)
         right &= (F.col("place_a") <= F.col("n_a") - least + 1) & (F.col("place_b") <= F.col("n_b") - least + 1)
-        found = short.join(long, ["shingle", "level", "most"]).where(right)
+        found = short.where("not most_a").join(long, ["shingle", "level"]).where(right)
+        found = found.union(short.where("most_a").join(long.where("not most_b"), ["shingle", "level"]).where(right))
         return found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
 
     def untested(self, pairs: DataFrame) -> DataFrame:
