@@ -33,8 +33,8 @@ class Settings:
     """Bands of ``rows`` coordinates: a pair of similarity s shares one with chance 1 - (1 - s**rows)**bands.
 
     32 bands of 4 find a pair of similarity 0.75 but for a chance of 5e-6. ``percent``: least similarity.
-    ``crowd``: a band of more open pairs than so many a member is searched by rare shingles. ``growth``: ratio
-    of set sizes in one size class of that search. ``slot_bits``: shingles are ranked by counts of 2**slot_bits slots.
+    ``crowd``: a band of more open pairs than so many a member is searched by rare shingles. ``slot_bits``: they
+    are ranked by counts of 2**slot_bits slots.
     """
 
     bands: int = 32
@@ -44,7 +44,6 @@ class Settings:
     rounds: int = 2
     leaders: int = 6
     crowd: int = 8
-    growth: float = 1.05
     slot_bits: int = 20
     seed: int = 5
     broadcast_rows: int = 500_000
@@ -112,52 +111,60 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def slot_counts(sets: DataFrame, s: Settings) -> np.ndarray:
+    """How often the shingles of each slot occur in ``sets`` (shingles): counted in each task, then summed. The
+    driver gets a row per slot, so 2**slot_bits at most, whatever the input."""
+    size = 1 << s.slot_bits
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for b in batches:
+            found = b.column("shingles").flatten().to_numpy(zero_copy_only=False)
+            at, n = np.unique(found & np.int64(size - 1), return_counts=True)
+            counts[at] += n
+        at = np.flatnonzero(counts)
+        for k in range(0, len(at), 50_000):
+            some = at[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(counts[some])], ["slot", "n"])
+
+    counted = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size, np.int64)
+    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    return counts
+
+
 def rare_prefixes(sets: DataFrame, counts: np.ndarray, s: Settings) -> DataFrame:
-    """doc_id, n, shingle, place, level, longer: the rarest shingles of each set of ``sets`` (doc_id, shingles).
+    """doc_id, component, n, shingle, place: the rarest shingles of each set of ``sets`` (doc_id, component, shingles).
 
-    Two sets of sizes n <= m are similar only if they share least = ceil(p (n + m) / (100 + p)) shingles. With
+    Two sets of sizes n and m are similar only if they share least = ceil(p (n + m) / (100 + p)) shingles. With
     all shingles in one order, the first n - least + 1 of one and m - least + 1 of the other then share one.
-    A set is a shorter one at its own size level, and a longer one (``longer``) at each level that its
-    partners may have, with as many shingles as the least partner of the level asks for. ``counts``: for each
-    slot of shingles, how often they occur; the order is by that count and then by shingle.
+    The smallest similar partner asks for most; ``place`` (from 1) tells what a larger one asks for. ``counts``:
+    for each slot of shingles, how often they occur; the order is by that count and then by shingle.
     """
-    p, step = s.percent, float(np.log(s.growth))
     shared, mask = sets.sparkSession.sparkContext.broadcast(counts), np.int64(len(counts) - 1)
 
-    def level(n: int) -> int:
-        return int(np.log(n) / step)
-
-    def least(n: int, m: int) -> int:
-        return -(-p * (n + m) // (100 + p))
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for b in batches:
-            ids, parts = b.column("doc_id").to_pylist(), []
-            for doc_id, found in zip(ids, b.column("shingles")):
+            parts, rows = [], 0
+            for doc_id, component, found in zip(b.column("doc_id").to_pylist(), b.column("component").to_pylist(), b.column("shingles")):
                 found = found.values.to_numpy(zero_copy_only=False)
                 n = len(found)
-                found = found[np.lexsort((found, counts[found & mask]))[: n - -(-p * n // 100) + 1]]
-                first = -(-p * n // 100)
-                takes = [(level(n), False, n - least(n, n) + 1)]
-                for at in range(level(first), level(n) + 1):
-                    shortest = max(first, int(np.exp(at * step)) - 1)  # one less, for rounding
-                    takes.append((at, True, n - least(n, min(shortest, n)) + 1))
-                for at, longer, size in takes:
-                    size = min(size, len(found))
-                    parts.append((np.full(size, doc_id), np.full(size, n), found[:size], np.arange(1, size + 1), np.full(size, at), np.full(size, longer)))
-                if sum(len(x[0]) for x in parts) > 200_000:
+                found = found[np.lexsort((found, counts[found & mask]))[: n - -(-s.percent * n // 100) + 1]]
+                parts.append((np.full(len(found), doc_id), np.full(len(found), component), np.full(len(found), n), found, np.arange(1, len(found) + 1)))
+                rows += len(found)
+                if rows > 200_000:
                     yield batch(parts)
-                    parts = []
+                    parts, rows = [], 0
             if parts:
                 yield batch(parts)
 
     def batch(parts: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        columns = [pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*parts), kinds)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "shingle", "place", "level", "longer"])
+        columns = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "component", "n", "shingle", "place"])
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, n long, shingle long, place int, level int, longer boolean")
+    rows = sets.select("doc_id", "component", "shingles")
+    return rows.mapInArrow(run, "doc_id long, component long, n long, shingle long, place long")
 
 
 def components(spark: SparkSession, links: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -260,28 +267,20 @@ class _Search:
         similar sets must; a superset of the similar pairs."""
         s = self.s
         crowd = sized(crowd, s.broadcast_rows).withColumnRenamed("rep", "doc_id")
-        sets = materialise(self.spark, self.sets.join(crowd, "doc_id", "left_semi"), "crowd-sets")
-        counts = np.zeros(1 << s.slot_bits, np.int64)
-        slot = F.col("shingle").bitwiseAND((1 << s.slot_bits) - 1)
-        # bounded by the number of slots, whatever the input
-        slots = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("slot")).count().toArrow()
-        counts[slots["slot"].to_numpy()] = slots["count"].to_numpy()
-        rows = materialise(self.spark, rare_prefixes(sets, counts, s).join(crowd, "doc_id"), "prefixes")
+        sets = materialise(self.spark, self.sets.join(crowd, "doc_id"), "crowd-sets")
+        rows = materialise(self.spark, rare_prefixes(sets, slot_counts(sets, s), s), "prefixes")
         # of a shingle's rows, those of its largest component meet only the others
-        groups = rows.groupBy("shingle", "level", "component").agg(F.count("n").alias("k"))
-        groups = groups.groupBy("shingle", "level").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("k").alias("parts"))
-        groups = materialise(self.spark, groups.where("parts > 1").drop("parts"), "shared-shingles")
-        rows = rows.join(groups, ["shingle", "level"]).withColumn("most", F.col("component") == F.col("major"))
-        rows = materialise(self.spark, rows, "shared-rows")
-        columns = ("doc_id", "n", "place", "component", "most")
-        short = rows.where("not longer").select("shingle", "level", *(F.col(c).alias(f"{c}_a") for c in columns))
-        long = rows.where("longer").select("shingle", "level", *(F.col(c).alias(f"{c}_b") for c in columns))
+        groups = rows.groupBy("shingle", "component").agg(F.count("n").alias("k"))
+        groups = groups.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("k").alias("parts"))
+        rows = rows.join(groups.where("parts > 1").drop("parts"), "shingle").withColumn("most", F.col("component") == F.col("major"))
+        rows = materialise(self.spark, rows.drop("major"), "shared-rows")
+        a = rows.where("not most").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "component")))
+        b = rows.select("shingle", "most", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "place", "component")))
         least = F.ceil(F.lit(s.percent) * (F.col("n_a") + F.col("n_b")) / (100 + s.percent) - 1e-9)
-        right = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
-        right &= (F.col("component_a") != F.col("component_b")) & _long_enough(F.col("n_a"), F.col("n_b"), s.percent)
+        right = (F.col("component_a") != F.col("component_b")) & (F.col("most") | (F.col("doc_id_a") < F.col("doc_id_b")))
+        right &= _long_enough(F.col("n_a"), F.col("n_b"), s.percent)
         right &= (F.col("place_a") <= F.col("n_a") - least + 1) & (F.col("place_b") <= F.col("n_b") - least + 1)
-        found = short.where("not most_a").join(long, ["shingle", "level"]).where(right)
-        found = found.union(short.where("most_a").join(long.where("not most_b"), ["shingle", "level"]).where(right))
+        found = a.join(b, "shingle").where(right)
         return found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
 
     def untested(self, pairs: DataFrame) -> DataFrame:

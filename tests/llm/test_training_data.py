@@ -306,7 +306,7 @@ def test_near_duplicates_of_a_crowd_just_short_of_similar(spark):
         rows.append((n, " ".join(words[: 120 - dice.choice((0, 0, 9, 25))])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components({i: shingle_set(t) for i, t in rows})
-    for settings in (cminhash.Settings(crowd=0), cminhash.Settings(crowd=0, rounds=0), cminhash.Settings(crowd=2, growth=1.3, slot_bits=4)):
+    for settings in (cminhash.Settings(crowd=0), cminhash.Settings(crowd=0, rounds=0), cminhash.Settings(crowd=2, slot_bits=4)):
         got = {r.doc_id: r.component_id for r in cminhash.near_duplicates(spark, docs, settings).collect()}
         assert got == want
     assert len(set(want.values())) > 20
