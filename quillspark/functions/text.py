@@ -129,3 +129,25 @@ def intent(prompt: Column) -> Column:
     )
     has = lambda patterns: F.coalesce(prompt, F.lit("")).rlike("(?iuU)" + "|".join(patterns))
     return F.when(has(summary), "summarize").when(has(factual), "factual").otherwise("rag")
+
+
+def image_text(name: Column, width: Column, height: Column, kind: Column, date: Column, camera: Column, latitude: Column, longitude: Column) -> Column:
+    """Searchable text of an image's tags, a line each; lines of missing tags are left out."""
+    line = lambda head, value: F.when(value.isNotNull(), F.concat(F.lit(f"{head}: "), value))
+    size = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+    place = F.format_string("%.6f, %.6f", latitude, longitude)
+    place = F.when(latitude.isNotNull() & longitude.isNotNull(), place)
+    pairs = (("Image", name), ("Dimensions", size), ("Format", kind), ("Date", date), ("Camera", camera), ("GPS", place))
+    return F.concat_ws("\n", *(line(*p) for p in pairs))
+
+
+def crop(text: Column, term: Column, words: int = 200) -> Column:
+    """``words`` words of the text around the first that equals ``term``, or from the start."""
+    parts = F.split(F.coalesce(text, F.lit("")), " ")
+    at = F.greatest(F.coalesce(F.array_position(parts, term), F.lit(0)) - words // 2, F.lit(1)).cast("int")
+    return F.array_join(F.slice(parts, at, F.lit(words)), " ")
+
+
+def highlight(text: Column, term: str, before: str = "<em>", after: str = "</em>") -> Column:
+    """The text with each whole word ``term`` (letters and digits, in any case) between tags."""
+    return F.regexp_replace(text, rf"(?i)\b({term})\b", f"{before}$1{after}")

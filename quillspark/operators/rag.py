@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import tokens_estimate, truncate_to_tokens
+from ..functions.text import strip, tokens_estimate, truncate_to_tokens
 
 
 def budget(entries: DataFrame, most: int, header: int) -> DataFrame:
@@ -62,3 +62,31 @@ def grouped_parts(chunks: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, part, text: the chunks of a document joined in groups, the first half of a summary by parts."""
     rows = chunks.groupBy("doc_id", F.floor(F.col("chunk_index") / size).cast("int").alias("part"))
     return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n").alias("text"))
+
+
+def flatten_parts(parts: Column) -> Column:
+    """The text parts of a multimodal message (array of type, text), a line each."""
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n")
+
+
+def attachments(chats: DataFrame) -> DataFrame:
+    """conv_id, attached: texts of the user's multimodal turns (conv_id, turn, role, parts) before the last user
+    turn, in order. Conversations without any have no row."""
+    users = chats.where("role = 'user'")
+    last = users.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    rows = users.where("parts is not null").join(last, "conv_id").where("turn < last")
+    rows = rows.select("conv_id", "turn", strip(flatten_parts(F.col("parts"))).alias("text")).where("text <> ''")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return rows.groupBy("conv_id").agg(F.array_join(texts, "\n\n---\n\n").alias("attached"))
+
+
+def routes(bases: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """name, real, enabled of every base (base, real) with every suffix (suffix, enabled): configuration tables."""
+    name = F.concat_ws("-", "base", "suffix")
+    return bases.crossJoin(F.broadcast(suffixes)).select(name.alias("name"), "real", "enabled")
+
+
+def resolve(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """``requests`` (name) with real, enabled, routed; a name that is no route stands for itself, enabled."""
+    rows = requests.join(known, "name", "left").withColumn("routed", F.col("real").isNotNull())
+    return rows.withColumns({"real": F.coalesce("real", "name"), "enabled": F.coalesce("enabled", F.lit(True))})

@@ -58,3 +58,30 @@ def error_runs(events: DataFrame, failed: str) -> DataFrame:
     rows = rows.withColumn("_island", F.col("_i") - F.row_number().over(W.partitionBy("task", "_bad").orderBy(*order)))
     runs = rows.groupBy("task", "_bad", "_island").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy("task").agg(F.max(F.when(F.col("_bad"), F.col("n")).otherwise(0)).alias("longest"))
+
+
+def failed_files(events: DataFrame) -> DataFrame:
+    """task, failed_at, retry_count of tasks that failed after their last success, from a log of (task, seq, ts, status)."""
+    at = F.struct("ts", "seq")
+    done = events.where("status = 'completed'").groupBy("task").agg(F.max(at).alias("done"))
+    rows = events.where("status = 'failed'").join(done, "task", "left").where(F.col("done").isNull() | (at > F.col("done")))
+    return rows.groupBy("task").agg(F.max("ts").alias("failed_at"), (F.count("seq") - 1).alias("retry_count"))
+
+
+def purge(failures: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Failures no older than ``days``."""
+    return failures.where(F.col("failed_at") > now - F.make_dt_interval(F.lit(days)))
+
+
+def triage(failed: DataFrame, most: int = 8) -> DataFrame:
+    """kind, extension, n of failed files (extension, error): formats that are not supported, the ``most``
+    frequent extensions, and contents that cannot be read in one row."""
+    # What an error of the format says, and extensions without a reader.
+    says = ("unsupported", "not supported", "no extractor", "format", "no handler", "handler returned false")
+    unread = (".epub", ".mobi", ".azw", ".cbz", ".cbr")
+    of_format = F.lower(F.coalesce("error", F.lit(""))).rlike("|".join(says)) | F.col("extension").isin(*unread)
+    kind = F.when(of_format, "format").otherwise("content")
+    rows = failed.select(kind.alias("kind"), F.when(of_format, F.col("extension")).alias("extension"))
+    n = rows.groupBy("kind", "extension").agg(F.count(F.lit(1)).alias("n"))
+    top = n.where("kind = 'format'").orderBy(F.desc("n"), "extension").limit(most)
+    return top.union(n.where("kind = 'content'"))

@@ -495,3 +495,71 @@ def b2_speed_ratio(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("b", F.col("user_id") % 2)
     p = e.groupBy("event_type").pivot("b", [0, 1]).agg(F.avg("value"))
     return p.select("event_type", F.round(F.col("1") / F.col("0"), 6).alias("ratio"))
+
+
+# Image texts, excerpts, attachments, routes, failures ------------------------------------------------------
+
+
+@query("""SELECT event_id, 'Image: img' || event_id || chr(10) || 'Dimensions: ' || user_id || 'x' || (user_id + 1) || chr(10) || 'Format: ' || event_type
+ || CASE WHEN event_id % 3 > 0 THEN chr(10) || 'Date: ' || strftime(ts, '%Y-%m-%d') ELSE '' END || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'Camera: ' || props ELSE '' END
+ || CASE WHEN event_id % 5 > 0 THEN chr(10) || 'GPS: ' || printf('%.6f, %.6f', (event_id % 90)::DOUBLE, (event_id % 180) / 2::DOUBLE) ELSE '' END AS body FROM events""")
+def x12_image_texts(spark, sf):
+    e, n = spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id")
+    gps = lambda c: F.when(n % 5 > 0, c.cast("double"))
+    text = T.image_text(
+        F.concat(F.lit("img"), n.cast("string")), F.col("user_id"), F.col("user_id") + 1, F.col("event_type"), F.when(n % 3 > 0, F.date_format("ts", "yyyy-MM-dd")),
+        F.when(n % 2 == 0, F.col("props")), gps(n % 90), gps((n % 180) / 2),
+    )
+    return e.select("event_id", text.alias("body"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(array_to_string(w[s:s + 199], ' '), '\b(the)\b', '<em>\1</em>', 'gi') AS excerpt FROM (
+SELECT doc_id, w, greatest(coalesce(list_position(w, 'the'), 0) - 100, 1) AS s FROM (SELECT doc_id, string_split(regexp_replace(coalesce(content, ''), '[^\x00-\x7F]', 'x', 'g'), ' ') AS w FROM docs))""", "docs")
+def f7_excerpts(spark, sf):
+    plain = F.regexp_replace("content", r"[^\x00-\x7F]", "x")
+    return _docs(spark, sf).select("doc_id", T.highlight(T.crop(plain, F.lit("the")), "the").alias("excerpt"))
+
+
+@query(r"""SELECT conv_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS attached FROM (
+SELECT conv_id, turn, regexp_replace('file ' || turn || chr(10) || text, '^\s+|\s+$', '', 'g') AS t, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE role = 'user')
+WHERE turn < last AND turn % 2 = 0 AND t IS NOT NULL GROUP BY conv_id""")
+def g11_attachments(spark, sf):
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    parts = F.array(part("text", F.concat(F.lit("file "), F.col("turn").cast("string"))), part("image", F.lit("bits")), part("text", F.col("text")))
+    return rag.attachments(_chats(spark, sf).withColumn("parts", F.when((F.col("turn") % 2 == 0) & F.col("text").isNotNull(), parts)))
+
+
+@query("""SELECT doc_id, name, CASE WHEN doc_id % 3 < 2 THEN 'real ' || source ELSE name END AS "real", doc_id % 3 <> 0 AS enabled, doc_id % 3 < 2 AS routed FROM (
+SELECT doc_id, source, source || list_value('-plain', '-context', '-other')[CAST(doc_id % 3 AS INT) + 1] AS name FROM docs)""", "docs")
+def g21_g22_routes(spark, sf):
+    d = _docs(spark, sf)
+    bases = d.select(F.col("source").alias("base"), F.concat(F.lit("real "), "source").alias("real")).distinct()
+    known = rag.routes(bases, spark.createDataFrame([("plain", False), ("context", True)], "suffix string, enabled boolean"))
+    kind = F.element_at(F.array(F.lit("-plain"), F.lit("-context"), F.lit("-other")), (F.col("doc_id") % 3).cast("int") + 1)
+    return rag.resolve(d.select("doc_id", F.concat("source", kind).alias("name")), known)
+
+
+_SQL["failures"] = """failures AS (SELECT task, max(ts) AS failed_at, count(*) - 1 AS retry_count FROM (
+ SELECT *, sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) OVER (PARTITION BY task ORDER BY ts DESC, seq DESC) AS later FROM log) WHERE status = 'failed' AND later = 0 GROUP BY task)"""
+
+
+@query("SELECT task, failed_at, retry_count FROM failures", "log", "failures")
+def t10_failed_files(spark, sf):
+    return tasks.failed_files(_log(spark, sf))
+
+
+@query("SELECT retry_count < 3 AS retryable, count(*) AS n FROM failures WHERE failed_at > TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAY GROUP BY 1", "log", "failures")
+def t11_recent_failures(spark, sf):
+    recent = tasks.purge(tasks.failed_files(_log(spark, sf)), F.lit("2024-02-15 00:00:00").cast("timestamp_ntz"))
+    return recent.groupBy((F.col("retry_count") < 3).alias("retryable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'format' AS kind, ext AS extension, count(*) AS n FROM docs WHERE doc_id % 3 = 0 GROUP BY ext UNION ALL SELECT 'content', NULL, count(*) FROM docs WHERE doc_id % 3 > 0""", "docs")
+def t12_error_triage(spark, sf):
+    error = F.when(F.col("doc_id") % 3 == 0, "Unsupported file").when(F.col("doc_id") % 3 == 1, "cannot read")
+    return tasks.triage(_docs(spark, sf).select(F.col("ext").alias("extension"), error.alias("error")))
+
+
+@query("SELECT status, count(*) AS n FROM tasks WHERE contains(task_type, '1') GROUP BY status", "tasks")
+def t13_task_search(spark, sf):
+    return _tasks(spark, sf).where(F.col("task_type").contains("1")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
