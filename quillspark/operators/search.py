@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import document_score, squared_distance, terms
 
-#: A query table up to this size is broadcast; larger ones are searched in blocks by the caller.
+#: Rows of a query table, or query terms, that are broadcast at once; larger tables are searched block by block.
 MOST_QUERIES = 10_000
 
 
-def query_block(queries: DataFrame) -> DataFrame:
-    """``queries`` for broadcast, if they are few enough."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"search at most {MOST_QUERIES} queries at once; split the table into blocks")
-    return F.broadcast(queries)
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """``queries`` (query_id and more) in blocks of about ``MOST_QUERIES`` rows by the hash of query_id."""
+    n = max(1, -(-queries.count() // MOST_QUERIES))
+    return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, score=document_score, least: float | None = None) -> DataFrame:
     """query_id, id, distance, score, rank: the ``k`` nearest of ``vectors`` (id, vector) for each row of
-    ``queries`` (query_id, qvector). Filters belong on ``vectors``; the corpus is read once and not shuffled:
-    each task keeps the best ``k`` of a query before the final ranking."""
-    rows = vectors.join(query_block(queries)).withColumn("distance", squared_distance(F.col("vector"), F.col("qvector")))
-    rows = rows.select("query_id", "id", F.round("distance", 9).alias("distance"))
-    top = W.partitionBy("query_id").orderBy("distance", "id")
-    rows = rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).withColumn("score", score(F.col("distance")))
+    ``queries`` (query_id, qvector). Filters belong on ``vectors``; the corpus is read once for each block of
+    queries and not shuffled: each task keeps the best ``k`` of a query before the final ranking."""
+
+    def search(block: DataFrame) -> DataFrame:
+        rows = vectors.join(F.broadcast(block)).withColumn("distance", squared_distance(F.col("vector"), F.col("qvector")))
+        rows = rows.select("query_id", "id", F.round("distance", 9).alias("distance"))
+        top = W.partitionBy("query_id").orderBy("distance", "id")
+        return rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+
+    rows = reduce(DataFrame.union, map(search, query_blocks(queries))).withColumn("score", score(F.col("distance")))
     return rows if least is None else rows.where(F.col("score") >= least)
 
 
@@ -46,29 +51,36 @@ def typo_budget(term: Column) -> Column:
 
 def matched_terms(query_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """query_id, qpos, term, edits: words of the vocabulary within a query term's budget. Edit distances are
-    computed on distinct words in the band of lengths, never on postings."""
-    q, v = query_block(query_terms).alias("q"), vocabulary.alias("v")
+    computed on distinct words in the band of lengths, once for each distinct query term, never on postings."""
+    q, v = F.broadcast(query_terms.select("qterm").distinct()).alias("q"), vocabulary.alias("v")
     budget = typo_budget(F.col("q.qterm"))
     near = F.abs(F.length("v.term") - F.length("q.qterm")) <= budget
     edits = F.levenshtein("v.term", "q.qterm", 2)
-    return v.join(q, near & (edits >= 0) & (edits <= budget)).select("q.query_id", "q.qpos", "v.term", edits.alias("edits"))
+    found = v.join(q, near & (edits >= 0) & (edits <= budget)).select("qterm", "term", edits.alias("edits"))
+    return found.join(F.broadcast(query_terms), "qterm").select("query_id", "qpos", "term", "edits")
 
 
 def keyword_search(queries: DataFrame, posted: DataFrame, k: int) -> DataFrame:
     """query_id, id, words, typos, attribute, exact, rank.
 
     ``queries``: query_id, query. Ranking, in order: more query terms matched, fewer edits, better attribute,
-    more exact terms, id.
+    more exact terms, id. Postings are dealt by document before they meet the queries, so the hits of a
+    document, of which there may be far more than postings, are summed up where they arise.
     """
-    q = queries.select("query_id", F.posexplode(F.array_distinct(terms(F.col("query")))).alias("qpos", "qterm"))
-    words = matched_terms(q, posted.select("term").distinct())
-    hits = posted.select("id", "attr", "term").distinct().join(F.broadcast(words), "term")
-    best = hits.groupBy("query_id", "id", "qpos").agg(F.min("edits").alias("edits"), F.min("attr").alias("attr"))
-    found = best.groupBy("query_id", "id").agg(
-        F.count("qpos").alias("words"), F.sum("edits").alias("typos"), F.min("attr").alias("attribute"), F.count_if(F.col("edits") == 0).alias("exact")
-    )
-    order = W.partitionBy("query_id").orderBy(F.desc("words"), "typos", "attribute", F.desc("exact"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    every = queries.select("query_id", F.posexplode(F.array_distinct(terms(F.col("query")))).alias("qpos", "qterm"))
+    vocabulary = posted.select("term").distinct()
+    dealt = posted.select("id", "attr", "term").repartition("id").groupBy("id", "term").agg(F.min("attr").alias("attr"))
+
+    def search(q: DataFrame) -> DataFrame:
+        hits = dealt.join(F.broadcast(matched_terms(q, vocabulary)), "term")
+        best = hits.groupBy("query_id", "id", "qpos").agg(F.min("edits").alias("edits"), F.min("attr").alias("attr"))
+        found = best.groupBy("query_id", "id").agg(
+            F.count("qpos").alias("words"), F.sum("edits").alias("typos"), F.min("attr").alias("attribute"), F.count_if(F.col("edits") == 0).alias("exact")
+        )
+        order = W.partitionBy("query_id").orderBy(F.desc("words"), "typos", "attribute", F.desc("exact"), "id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.union, map(search, query_blocks(every)))
 
 
 def reciprocal_rank(rank: Column, k: int = 60) -> Column:
