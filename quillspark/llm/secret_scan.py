@@ -100,7 +100,7 @@ class Scanner:
         return found
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Spans of high entropy that do not touch a span of ``base``."""
+        """Spans of high entropy, whole, that reach beyond the characters which ``base`` covers."""
         found: set[tuple[int, int]] = set()
         for m in _CANDIDATE.finditer(text):
             if any(p.fullmatch(m[0]) for p in self.allow):
@@ -116,13 +116,17 @@ class Scanner:
                 spans[-1] = ("entropy", spans[-1][1], max(b, spans[-1][2]))
             else:
                 spans.append(("entropy", a, b))
-        taken = sorted((a, b) for _, a, b in base)
-        out, k, reach = [], 0, 0
+        covers: list[tuple[int, int]] = []
+        for a, b in sorted((a, b) for _, a, b in base):
+            if covers and a <= covers[-1][1]:
+                covers[-1] = (covers[-1][0], max(b, covers[-1][1]))
+            else:
+                covers.append((a, b))
+        out, k = [], 0
         for kind, a, b in spans:
-            while k < len(taken) and taken[k][0] < b:
-                reach = max(reach, taken[k][1])
+            while k < len(covers) and covers[k][1] <= a:
                 k += 1
-            if reach <= a:
+            if k == len(covers) or not (covers[k][0] <= a and b <= covers[k][1]):
                 out.append((kind, a, b))
         return out
 
