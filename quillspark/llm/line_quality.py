@@ -1,8 +1,8 @@
 """Quality rules: statistics of one text, and how many documents of a host share each line.
 
-Normalised lines are hashed, and the distinct texts of each host that have a line are counted. Lines in
-more texts than the limit are boilerplate and count as removed; a document that loses most of its
-characters is rejected. Exact copies of a text count once, so copies do not reject one another.
+Normalised lines are hashed, and the documents of each host that have a line are counted. Lines in more
+documents than the limit are boilerplate and count as removed; a document that loses most of its characters
+is rejected. On request exact copies of a text count once, so that copies do not reject one another.
 """
 
 from __future__ import annotations
@@ -74,11 +74,13 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def judge_lines(
-    spark: SparkSession, docs: DataFrame, max_docs: int = 50, max_removed: float = 0.5, broadcast_rows: int = 200_000
+    spark: SparkSession, docs: DataFrame, max_docs: int = 50, max_removed: float = 0.5, broadcast_rows: int = 200_000,
+    copies: bool = False,
 ) -> DataFrame:
     """A row per document: doc_id, base statistics, base_failed, removed (share of characters), kept.
 
-    A line of a host that more than ``max_docs`` distinct texts of this host have is removed; a document
+    A line of a host that more than ``max_docs`` distinct texts of this host have (``copies``: documents,
+    so that exact copies of a text count each) is removed; a document
     that loses more than ``max_removed`` of its characters is not kept. Null text counts as empty and
     fails the base rules; a null source is a host of its own. Rows that repeat a doc_id and text get
     equal results. Only doc_id, source and text are read of ``docs``.
@@ -86,7 +88,7 @@ def judge_lines(
     docs = docs.select("doc_id", "source", "text")
     lines = line_rows(docs)
     common = (
-        lines.select("source", "line", "text_hash").distinct()
+        lines.select("source", "line", "doc_id" if copies else "text_hash").distinct()
         .groupBy("source", "line").count().where(F.col("count") > max_docs)
         .select("source", "line")
     )
