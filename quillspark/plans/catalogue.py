@@ -581,6 +581,12 @@ def f7_excerpts(spark, sf):
     return _docs(spark, sf).select("doc_id", T.highlight(T.crop(plain, F.lit("the")), "the").alias("excerpt"))
 
 
+@query("")
+def f7_excerpts_whole(spark, sf):
+    """Excerpts of the texts as they are; the twin of f7_excerpts knows ASCII letters only."""
+    return _docs(spark, sf).select("doc_id", T.highlight(T.crop(F.col("content"), F.lit("the")), "the").alias("excerpt"))
+
+
 @query(r"""SELECT conv_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS attached FROM (
 SELECT conv_id, turn, regexp_replace('file ' || turn || chr(10) || text, '^\s+|\s+$', '', 'g') AS t, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE role = 'user')
 WHERE turn < last AND turn % 2 = 0 AND t IS NOT NULL GROUP BY conv_id""")

@@ -78,3 +78,10 @@ def test_all_items_are_asked_whole(spark, sf):
     hybrid = catalogue.h5_hybrid_search_whole(spark, sf)
     vectors = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     assert {r.query_id for r in hybrid.select("query_id").distinct().collect()} == set(items) | {i for i in vectors if i % 50 == 0}
+
+
+def test_excerpts_keep_every_letter(spark, sf, tmp_path):
+    rows = [(1, "été the Brücke é", "fr", "s", 16), (2, "список " * 300 + "the документ", "ru", "s", 2112), (3, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.excerpt for r in catalogue.f7_excerpts_whole(spark, str(tmp_path)).collect()}
+    assert got == {1: "été <em>the</em> Brücke é", 2: "список " * 100 + "<em>the</em> документ", 3: ""}
