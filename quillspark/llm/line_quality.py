@@ -73,11 +73,23 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.select("source", "doc_id", "text_hash", "pos", "_x.line", "_x.chars")
 
 
+def part_lines(text: Column, common: Column) -> Column:
+    """Array of whole (a line of ``text``), chars of its normalised form, common (whether its hash is in ``common``)."""
+
+    def line(x: Column, whole: Column) -> Column:
+        return F.struct(whole.alias("whole"), F.length(x).alias("chars"), ((x != "") & F.array_contains(common, F.xxhash64(x))).alias("common"))
+
+    plain = F.split(F.translate(F.lower(text), "123456789", "000000000"), "\n")
+    trimmed = F.transform(plain, lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
+    return F.zip_with(trimmed, F.split(text, "\n"), line)
+
+
 def judge_lines(
     spark: SparkSession, docs: DataFrame, max_docs: int = 50, max_removed: float = 0.5, broadcast_rows: int = 200_000,
     copies: bool = False,
 ) -> DataFrame:
-    """A row per document: doc_id, base statistics, base_failed, removed (share of characters), kept.
+    """A row per document: doc_id, base statistics, base_failed, removed (share of characters), kept, text
+    (without the removed lines; null stays null).
 
     A line of a host that more than ``max_docs`` distinct texts of this host have (``copies``: documents,
     so that exact copies of a text count each) is removed; a document
@@ -94,21 +106,24 @@ def judge_lines(
     )
     common = sized(materialise(spark, common, "common-lines"), broadcast_rows)
     on = lambda a, b, names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
-    removed = (
+    found = (
         lines.alias("l").join(common.alias("c"), on("l", "c", ["source", "line"]), "left_semi")
-        .distinct()  # rows may repeat
-        .groupBy("doc_id", "source", "text_hash").agg(F.sum("chars").alias("gone"))
+        .groupBy("doc_id", "source", "text_hash").agg(F.collect_set("line").alias("common"))
         .withColumnsRenamed({n: f"_{n}" for n in ("doc_id", "source", "text_hash")})
     )
-    base = base_rules(docs).withColumns({"text_hash": F.xxhash64("text"), "chars": F.length("text")}).drop("text")
-    rows = base.join(
-        removed,
+    rows = base_rules(docs).withColumn("text_hash", F.xxhash64("text")).join(
+        found,
         F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("text_hash") == F.col("_text_hash")),
         "left",
     )
-    share = F.when(F.col("chars") > 0, F.coalesce(F.col("gone") / F.col("chars"), F.lit(0.0))).otherwise(0.0)
-    rows = rows.withColumn("removed", share)
+    rows = rows.withColumn("parts", F.when(F.col("common").isNotNull(), part_lines(F.col("text"), F.col("common"))))
+    cleaned = F.when(F.col("common").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(F.filter("parts", lambda x: ~x["common"]), lambda x: x["whole"]), "\n")
+    )
+    gone = F.aggregate(F.filter("parts", lambda x: x["common"]), F.lit(0), lambda n, x: n + x["chars"])
+    share = F.when(F.length("text") > 0, F.coalesce(gone / F.length("text"), F.lit(0.0))).otherwise(0.0)
+    rows = rows.withColumns({"cleaned": cleaned, "removed": share})
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("removed") <= max_removed)).alias("kept"), "removed",
+        (~F.col("base_failed") & (F.col("removed") <= max_removed)).alias("kept"), "removed", F.col("cleaned").alias("text"),
     )
