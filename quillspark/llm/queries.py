@@ -16,7 +16,7 @@ def tokenizer_path() -> str:
 
 
 def op1_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_filter.filter_urls(spark, table(spark, sf_dir, "pages"))
+    found = url_filter.filter_urls(spark, table(spark, sf_dir, "pages"), order=7, folded=False)
     return found.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 

@@ -5,8 +5,9 @@ shorter contexts) are counted from the URLs that the rules accept and from those
 URL's score is the difference of its log-likelihoods divided by its length; the threshold is the one
 that best separates labelled URLs which the models have not seen.
 
-URLs are written in an alphabet of 32 symbols, so a model has at most 32**4 entries however many URLs
-there are; this bound is what lets scoring join the model by broadcast.
+``filter_urls`` with ``folded`` writes URLs in an alphabet of 32 symbols, so a model has at most 32**4
+entries, which are broadcast. Without it, the models count the characters as they are, with contexts of any
+length; they grow with the input, stay distributed, and meet the URLs by shuffle.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialise
+from .common import let, materialise
 
 _DIGITS = "0123456789abcdefghijklmnopqrstuv"
 _FROM = "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789" + "/.-_?&=#%:;" + "~"
 _TO = _DIGITS[:26] * 2 + "q" * 10 + "rsttuuuuuuu" + "v"
 #: Labelled URLs of this crc32 remainder calibrate, the others are counted.
 FOLDS = 4
+#: Stands before a URL's first character as often as a context is long.
+START = "\x02"
+#: How many characters there may be: Unicode's.
+CHARACTERS = 1_114_112
 
 
 @dataclass(frozen=True)
@@ -106,34 +111,100 @@ def model(counts: DataFrame, order: int) -> DataFrame:
     return lower.select(F.col("rest").alias("code"), ratio.alias("llr"))
 
 
-def filter_urls(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = 3) -> DataFrame:
-    """page_id, url, host, path, rule, verdict, score, threshold for every row of ``pages``.
+def whole_grams(url: Column, order: int) -> Column:
+    """Array of the windows of ``order`` + 1 characters that end at each character of a URL, scheme left out."""
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^[^:/?#]*://", "")
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - order), lambda i: F.array_join(F.slice(c, i, order + 1), ""))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(let(F.split(F.concat(F.lit(START * order), bare), ""), cut))
 
-    A null URL, or one without ``://``, has an empty host and path and fits no rule. A URL without
-    characters scores 0 and is allowed, as nothing speaks against it; so is every URL when the rules
-    label no URL of one side. Ties with the threshold are allowed. Repeated rows stay and get equal
-    results; other columns of ``pages`` are not read.
-    """
-    if not 1 <= order <= 3:
-        raise ValueError("order must be 1, 2 or 3")
 
-    def ruled(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-        return rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+def whole_model(counts: DataFrame, order: int) -> DataFrame:
+    """code, llr as ``model``, of codes that are strings of ``order`` + 1 characters. No table is bounded, so
+    none is marked for broadcast; contexts of equal endings share their lower orders by joins."""
+    lower = None
+    for k in range(order + 1):
+        seen = counts.groupBy(F.substring("code", order - k + 1, k + 1).alias("code")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        seen = seen.withColumn("context", F.substring("code", 1, k))
+        context = seen.groupBy("context").agg(
+            *(F.sum(x).alias(f"n_{x}") for x in "ab"),
+            *(F.count_if(F.col(x) > 0).cast("double").alias(f"kinds_{x}") for x in "ab"),
+        )
+        full = seen.join(context, "context")
+        if lower is None:
+            full = full.withColumns({"below_a": F.lit(1 / CHARACTERS), "below_b": F.lit(1 / CHARACTERS)})
+        else:
+            full = full.withColumn("rest", F.substring("code", 2, k)).join(lower, "rest")
 
-    rows = ruled(pages.select("page_id", "url"))
-    rows = rows.withColumn("fold", F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % FOLDS)
+        def smooth(x: str) -> Column:
+            weight = F.greatest(F.col(f"kinds_{x}"), F.lit(1.0))
+            return (F.col(x) + weight * F.col(f"below_{x}")) / (F.col(f"n_{x}") + weight)
+
+        lower = full.select(F.col("code").alias("rest"), smooth("a").alias("below_a"), smooth("b").alias("below_b"))
+    ratio = F.round(1e6 * (F.log("below_a") - F.log("below_b"))).cast("long")
+    return lower.select(F.col("rest").alias("code"), ratio.alias("llr"))
+
+
+def whole_scores(spark: SparkSession, rows: DataFrame, order: int) -> DataFrame:
+    """page_id, url, times, score, chars for each distinct row of ``rows`` (page_id, url, fit, fold).
+
+    Codes that are a thousandth of all windows or more, of which there are a thousand at most, are joined by
+    broadcast, so that no key of the shuffle is hot."""
+    rows = rows.groupBy("page_id", "url").agg(F.count(F.lit(1)).cast("int").alias("times"), F.first("fit").alias("fit"), F.first("fold").alias("fold"))
+    rows = materialise(spark, rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    counted = lambda allow: F.when(F.coalesce((F.col("fold") != 0) & (F.col("fit.allow") == allow), F.lit(False)), F.col("times")).otherwise(0)
+    cut = rows.select("row", counted(True).alias("a"), counted(False).alias("b"), F.explode(whole_grams(F.col("url"), order)).alias("code"))
+    counts = cut.groupBy("code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    counts = materialise(spark, counts, "url-codes")
+    most = (counts.agg(F.sum("n")).first()[0] or 0) / 1000
+    llr = materialise(spark, whole_model(counts, order).join(counts.select("code", "n"), "code"), "url-model")
+    hot = F.broadcast(llr.where(F.col("n") >= most).select("code", F.col("llr").alias("known")))
+    met = cut.select("row", "code").join(hot, "code", "left")
+    cold = met.where("known is null").select("row", "code").join(llr.where(F.col("n") < most).select("code", "llr"), "code").select("row", "llr")
+    parts = met.where("known is not null").select("row", F.col("known").alias("llr")).union(cold)
+    parts = parts.groupBy("row").agg(F.sum("llr").alias("llr"), F.count("llr").alias("chars"))
+    return rows.join(parts, "row", "left").select(
+        "page_id", "url", "times", F.coalesce(F.col("llr") / F.col("chars") / 1e6, F.lit(0.0)).alias("score"), F.coalesce("chars", F.lit(0)).alias("chars")
+    )
+
+
+def folded_scores(spark: SparkSession, rows: DataFrame, order: int) -> DataFrame:
+    """page_id, url, times, score, chars for each distinct row of ``rows`` (page_id, url, fit, fold)."""
     rows = rows.select("page_id", "url", "fit", "fold", F.posexplode_outer(grams(F.col("url"), order)).alias("at", "code"))
     counted = lambda allow: F.coalesce((F.col("fold") != 0) & (F.col("fit.allow") == allow), F.lit(False)).cast("long")
     counts = rows.where("code is not null").groupBy("code").agg(F.sum(counted(True)).alias("a"), F.sum(counted(False)).alias("b"))
     counts = materialise(spark, counts, "url-codes")
     llr = F.broadcast(materialise(spark, model(counts, order), "url-model"))  # 32**(order + 1) rows at most
     # a row's characters lie in one task, so this shuffles one short row for each row of the input
-    scored = rows.join(llr, "code", "left").groupBy("page_id", "url").agg(
+    return rows.join(llr, "code", "left").groupBy("page_id", "url").agg(
         F.count_if(F.coalesce("at", F.lit(0)) == 0).cast("int").alias("times"),
         F.coalesce(F.sum("llr") / F.count("llr") / 1e6, F.lit(0.0)).alias("score"),
         F.count("llr").alias("chars"),
     )
+
+
+def filter_urls(
+    spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = 3, folded: bool = True
+) -> DataFrame:
+    """page_id, url, host, path, rule, verdict, score, threshold for every row of ``pages``.
+
+    A null URL, or one without ``://``, has an empty host and path and fits no rule. A URL without
+    characters scores 0 and is allowed, as nothing speaks against it; so is every URL when the rules
+    label no URL of one side. Ties with the threshold are allowed. Repeated rows stay and get equal
+    results; other columns of ``pages`` are not read. ``order``: characters of context, at most 3 if ``folded``.
+    """
+    if order < 1 or folded and order > 3:
+        raise ValueError("order must be 1, 2 or 3, or more without folding")
+
+    def ruled(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+        return rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+
+    rows = ruled(pages.select("page_id", "url"))
+    rows = rows.withColumn("fold", F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % FOLDS)
+    if folded:
+        scored = folded_scores(spark, rows, order)
+    else:
+        scored = whole_scores(spark, rows, order)
     scored = materialise(spark, scored, "url-scores")
     # held-out labels by score: the ratio of two smoothed models is bounded, so are the bins
     bins = (
