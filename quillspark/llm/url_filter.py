@@ -118,52 +118,54 @@ def whole_grams(url: Column, order: int) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(let(F.split(F.concat(F.lit(START * order), bare), ""), cut))
 
 
-def whole_model(counts: DataFrame, order: int) -> DataFrame:
-    """code, llr as ``model``, of codes that are strings of ``order`` + 1 characters. No table is bounded, so
-    none is marked for broadcast; contexts of equal endings share their lower orders by joins."""
-    lower = None
-    for k in range(order + 1):
-        seen = counts.groupBy(F.substring("code", order - k + 1, k + 1).alias("code")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        seen = seen.withColumn("context", F.substring("code", 1, k))
-        context = seen.groupBy("context").agg(
-            *(F.sum(x).alias(f"n_{x}") for x in "ab"),
-            *(F.count_if(F.col(x) > 0).cast("double").alias(f"kinds_{x}") for x in "ab"),
-        )
-        full = seen.join(context, "context")
-        if lower is None:
-            full = full.withColumns({"below_a": F.lit(1 / CHARACTERS), "below_b": F.lit(1 / CHARACTERS)})
-        else:
-            full = full.withColumn("rest", F.substring("code", 2, k)).join(lower, "rest")
+def whole_model(spark: SparkSession, counts: DataFrame, order: int) -> DataFrame:
+    """code, llr as ``model``, of codes that are strings of ``order`` + 1 characters.
+
+    Windows of all lengths are counted from the codes at once, a window's context is summed up where its
+    windows stand together, and a code folds the figures of its own endings from the shortest up. No table is
+    bounded, so none is marked for broadcast; a context has no more windows than there are characters."""
+    ends = F.transform(F.sequence(F.lit(0), F.lit(order)), lambda k: F.struct(k.alias("k"), F.right("code", k + 1).alias("end")))
+    cut = counts.select("code", "a", "b", F.explode(ends).alias("x")).select("code", "a", "b", "x.k", "x.end")
+    seen = cut.groupBy("end").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    seen = seen.withColumn("context", F.expr("left(end, length(end) - 1)"))
+    same = W.partitionBy("context")
+    seen = seen.select(
+        "end", "a", "b", *(F.sum(x).over(same).alias(f"n_{x}") for x in "ab"),
+        *(F.greatest(F.count_if(F.col(x) > 0).over(same).cast("double"), F.lit(1.0)).alias(f"w_{x}") for x in "ab"),
+    )
+    seen = materialise(spark, seen, "url-windows")
+    told = cut.select("code", "k", "end").join(seen, "end").groupBy("code").agg(
+        F.sort_array(F.collect_list(F.struct("k", "a", "b", "n_a", "n_b", "w_a", "w_b"))).alias("x")
+    )
 
-        def smooth(x: str) -> Column:
-            weight = F.greatest(F.col(f"kinds_{x}"), F.lit(1.0))
-            return (F.col(x) + weight * F.col(f"below_{x}")) / (F.col(f"n_{x}") + weight)
+    def smooth(acc: Column, x: Column) -> Column:
+        p = lambda s: ((x[s] + x[f"w_{s}"] * acc[s]) / (x[f"n_{s}"] + x[f"w_{s}"])).alias(s)
+        return F.struct(p("a"), p("b"))
 
-        lower = full.select(F.col("code").alias("rest"), smooth("a").alias("below_a"), smooth("b").alias("below_b"))
-    ratio = F.round(1e6 * (F.log("below_a") - F.log("below_b"))).cast("long")
-    return lower.select(F.col("rest").alias("code"), ratio.alias("llr"))
+    flat = F.lit(1 / CHARACTERS)
+    told = told.select("code", F.aggregate("x", F.struct(flat.alias("a"), flat.alias("b")), smooth).alias("p"))
+    return told.select("code", F.round(1e6 * (F.log("p.a") - F.log("p.b"))).cast("long").alias("llr"))
 
 
 def whole_scores(spark: SparkSession, rows: DataFrame, order: int) -> DataFrame:
-    """page_id, url, times, score, chars for each distinct row of ``rows`` (page_id, url, fit, fold).
+    """page_id, url, times (1), score, chars for each row of ``rows`` (page_id, url, fit, fold).
 
     Codes that are a thousandth of all windows or more, of which there are a thousand at most, are joined by
     broadcast, so that no key of the shuffle is hot."""
-    rows = rows.groupBy("page_id", "url").agg(F.count(F.lit(1)).cast("int").alias("times"), F.first("fit").alias("fit"), F.first("fold").alias("fold"))
     rows = materialise(spark, rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
-    counted = lambda allow: F.when(F.coalesce((F.col("fold") != 0) & (F.col("fit.allow") == allow), F.lit(False)), F.col("times")).otherwise(0)
+    counted = lambda allow: F.coalesce((F.col("fold") != 0) & (F.col("fit.allow") == allow), F.lit(False)).cast("int")
     cut = rows.select("row", counted(True).alias("a"), counted(False).alias("b"), F.explode(whole_grams(F.col("url"), order)).alias("code"))
     counts = cut.groupBy("code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
     counts = materialise(spark, counts, "url-codes")
     most = (counts.agg(F.sum("n")).first()[0] or 0) / 1000
-    llr = materialise(spark, whole_model(counts, order).join(counts.select("code", "n"), "code"), "url-model")
+    llr = materialise(spark, whole_model(spark, counts, order).join(counts.select("code", "n"), "code"), "url-model")
     hot = F.broadcast(llr.where(F.col("n") >= most).select("code", F.col("llr").alias("known")))
     met = cut.select("row", "code").join(hot, "code", "left")
     cold = met.where("known is null").select("row", "code").join(llr.where(F.col("n") < most).select("code", "llr"), "code").select("row", "llr")
     parts = met.where("known is not null").select("row", F.col("known").alias("llr")).union(cold)
     parts = parts.groupBy("row").agg(F.sum("llr").alias("llr"), F.count("llr").alias("chars"))
     return rows.join(parts, "row", "left").select(
-        "page_id", "url", "times", F.coalesce(F.col("llr") / F.col("chars") / 1e6, F.lit(0.0)).alias("score"), F.coalesce("chars", F.lit(0)).alias("chars")
+        "page_id", "url", F.lit(1).alias("times"), F.coalesce(F.col("llr") / F.col("chars") / 1e6, F.lit(0.0)).alias("score"), F.coalesce("chars", F.lit(0)).alias("chars")
     )
 
 
