@@ -142,8 +142,9 @@ class Machine:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, settings) -> DataFrame:
-    """At most ``settings.sample`` rows of each class: doc_id, text, n_chars, y. Rows come by a hash of doc_id, so the
-    same rows are chosen whatever the partitions are."""
+    """At most ``settings.sample`` rows of each class: doc_id, y, text, n_chars. Rows come by a hash of doc_id, so the
+    same rows are chosen whatever the partitions are; of several texts of a doc_id the least counts, of several
+    labels the greatest."""
     rows = labels.select("doc_id", F.col(label).alias("y")).where(learn & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     ids = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
     usable = docs.where(F.octet_length("text").between(1, settings.text_bytes)).select("doc_id").distinct()
@@ -153,8 +154,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         for y in (0, 1)
     ]
     chosen = F.broadcast(parts[0].union(parts[1]))  # two samples of bounded size
-    keep = ["doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else [])]
-    return docs.select(*keep).where(F.octet_length("text").between(1, settings.text_bytes)).join(chosen, "doc_id")
+    keep = ["text", *(["n_chars"] if "n_chars" in docs.columns else [])]
+    rows = docs.select("doc_id", *keep).where(F.octet_length("text").between(1, settings.text_bytes)).join(chosen, "doc_id")
+    return rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(*keep)).alias("_row")).select("doc_id", "y", "_row.*")
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn, settings: Settings = Settings()) -> Machine:
@@ -173,8 +175,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn, settings
             )
 
     rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text", "n_chars")
-    rows = rows.mapInArrow(run, "doc_id long, y int, ids binary, x binary").dropDuplicates(["doc_id"])
-    got = sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.ids))
+    rows = rows.mapInArrow(run, "doc_id long, y int, ids binary, x binary")
+    got = sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)
     pairs = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.x, np.float32)) for r in got]
     return Machine(settings).fit(pairs, [r.y for r in got])
 
@@ -183,7 +185,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, machine: Machine) -> D
     """doc_id, score for every row: the chance of label 1.
 
     Null and empty texts are scored from their (empty) structure alone. A null n_chars is replaced by
-    the text's own length. Only doc_id, text and n_chars are read; repeated rows give repeated rows.
+    the text's own length. Only doc_id, text and n_chars are read, very long texts whole; repeated rows give
+    repeated rows, a null doc_id stays null, an empty table gives no row.
     """
     shared = spark.sparkContext.broadcast((machine.settings, machine.bias, machine.w, machine.v))
 

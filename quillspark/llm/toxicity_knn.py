@@ -1,8 +1,8 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows. Their vocabulary is the terms whose presence depends most
-on the label (chi-square); document frequencies of these terms are counted over all documents. The
-examples stand in an inverted index whose postings are cut into blocks with the largest weight of each
+Examples are a bounded sample of labelled rows. The space of the vectors is spanned by all of their terms
+whose presence depends on the label (chi-square at a level of significance, however many they are); document
+frequencies of these terms are counted over all documents. The examples stand in an inverted index whose postings are cut into blocks with the largest weight of each
 term in each block. A block's bound is what its maxima could add up to; blocks are read from the highest
 bound down until no bound reaches the k-th best cosine, so the neighbours are exact.
 """
@@ -29,12 +29,15 @@ _TERM = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Settings:
     """``sample``: at most so many labelled rows of each class become examples; ``text_bytes``: longer
-    labelled rows are passed over in choosing them (scoring reads every text whole)."""
+    labelled rows are passed over in choosing them (scoring reads every text whole). ``significance``: a
+    term spans the space from this chi-square on (10.83: one in a thousand by chance; 0: all terms of the
+    examples do). ``power``: a neighbour's vote is its cosine to this power."""
 
     sample: int = 1000
     text_bytes: int = 20_000
-    terms: int = 1024
+    significance: float = 10.83
     neighbours: int = 15
+    power: float = 2.0
     block: int = 64
     seed: int = 11
 
@@ -43,8 +46,8 @@ def terms(text: str | None) -> Counter:
     return Counter(_TERM.findall((text or "").lower()))
 
 
-def chi_square(present: list[tuple[set, int]], limit: int) -> list[str]:
-    """The terms whose presence depends most on the label, at most ``limit``; ties by the term."""
+def significant_terms(present: list[tuple[set, int]], least: float) -> list[str]:
+    """The terms whose presence depends on the label with a chi-square of ``least`` or more, in order."""
     by = (Counter(), Counter())
     size = [0, 0]
     for words, y in present:
@@ -57,8 +60,7 @@ def chi_square(present: list[tuple[set, int]], limit: int) -> list[str]:
         c, d = size[1] - a, size[0] - b
         return n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * size[0] * size[1])
 
-    every = {t: value(t) for t in by[0].keys() | by[1].keys() if by[0][t] + by[1][t] >= 3}
-    return sorted(every, key=lambda t: (-every[t], t))[:limit]
+    return sorted(t for t in by[0].keys() | by[1].keys() if value(t) >= least)
 
 
 class Index:
@@ -126,8 +128,10 @@ class Index:
         return best
 
     def votes(self, near: list[tuple[float, int]]) -> float:
-        total = sum(s for s, _ in near)
-        return sum(s * self.labels[i] for s, i in near) / total if total > 0 else 0.0
+        """The share of toxic neighbours, each with its cosine's power as weight."""
+        weights = [s**self.settings.power for s, _ in near]
+        total = sum(weights)
+        return sum(w * self.labels[i] for w, (_, i) in zip(weights, near)) / total if total > 0 else 0.0
 
     def calibrate(self) -> None:
         """Logistic fit of the votes that each example gets from the others; the classes weigh the same."""
@@ -143,16 +147,7 @@ class Index:
             gradient = a.T @ (weight * (p - y)) + 1e-3 * (beta - [8.0, -4.0])
             hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
             beta = beta - np.linalg.solve(hessian, gradient)
-        # the least cut between the classes that keeps false alarms rare
-        self.slope = float(max(beta[0], 1.0))
-        self.offset = -self.slope * self.cut(x, y)
-
-    @staticmethod
-    def cut(x: np.ndarray, y: np.ndarray) -> float:
-        """The vote share with the largest (recall - 2 x false alarms), ties to the middle of the range."""
-        grid = np.linspace(0.05, 0.95, 91)
-        gain = np.array([(x[y > 0] >= t).mean() - 2 * (x[y == 0] >= t).mean() for t in grid])
-        return float(np.median(grid[gain >= gain.max() - 1e-9]))
+        self.slope, self.offset = float(beta[0]), float(beta[1])
 
     def _row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         ptr, e, w = self.blocks[i // self.settings.block]
@@ -188,10 +183,10 @@ def document_frequencies(spark: SparkSession, docs: DataFrame, vocabulary: list[
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Index:
     """``learn``: Column on doc_id that tells which labels may be used; ``docs``: the whole corpus."""
-    sample = labelled_sample(docs, labels, "toxic", learn, settings).dropDuplicates(["doc_id"])
+    sample = labelled_sample(docs, labels, "toxic", learn, settings)
     got = sorted(((r.doc_id, int(r.y), r.text) for r in sample.select("doc_id", "y", "text").toLocalIterator()))
     examples = [(d, y, terms(t)) for d, y, t in got]
-    vocabulary = chi_square([(set(c), y) for _, y, c in examples], settings.terms)
+    vocabulary = significant_terms([(set(c), y) for _, y, c in examples], settings.significance)
     df, n = document_frequencies(spark, docs, vocabulary)
     return Index(settings, vocabulary, df, n).build(examples)
 
@@ -201,7 +196,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, index: Index) -> DataF
 
     A text without a term of the vocabulary, empty and null texts too, has no neighbour and gets the
     score of zero votes. Equal cosines rank by label, strongest term and doc_id of the example. Only
-    doc_id and text are read; repeated rows give repeated rows.
+    doc_id and text are read, very long texts whole; repeated rows give repeated rows, a null doc_id stays
+    null, an empty table gives no row. Votes don't depend on the norm of a document's vector.
     """
     shared = spark.sparkContext.broadcast(index)
 
