@@ -25,18 +25,30 @@ def repeated_words(words: Column) -> Column:
         step = lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.least(F.lit(3), p - acc["last"])).alias("sum"))
         return F.aggregate(positions, start, step, lambda acc: acc["sum"])
 
+    def dup(places: Column, hashes: Column) -> Column:
+        # places in the order of their windows: equal windows stand side by side
+        at = lambda i: F.get(hashes, F.get(places, i))
+        own = lambda p, i: (at(i) == at(i - 1)) | (at(i) == at(i + 1))
+        return F.sort_array(F.filter(places, lambda p, i: F.coalesce(own(p, i), F.lit(False))))
+
     def twice(hashes: Column) -> Column:
-        # hash and place of each window in one long; equal windows stand side by side once sorted
+        # hash and place of each window in one long, as long as the places fit and no two windows share the
+        # rest of a hash; else both in a struct, which is sorted slower
         mask = (1 << _POSITION_BITS) - 1
         packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
+        place = lambda p: p.bitwiseAND(F.lit(mask)).cast("int")
+        rest = lambda p: p.bitwiseAND(F.lit(~mask))
 
-        def dup(order: Column) -> Column:
-            at = lambda i: F.get(hashes, F.get(order, i).bitwiseAND(F.lit(mask)).cast("int"))
-            own = lambda p, i: (at(i) == at(i - 1)) | (at(i) == at(i + 1))
-            kept = F.filter(order, lambda p, i: F.coalesce(own(p, i), F.lit(False)))
-            return F.sort_array(F.transform(kept, lambda p: p.bitwiseAND(F.lit(mask)).cast("int")))
+        def mixed(order: Column) -> Column:
+            at = lambda p: F.get(hashes, place(p))
+            both = F.transform(order, lambda p, i: (rest(p) == rest(F.get(order, i - 1))) & (at(p) != at(F.get(order, i - 1))))
+            return F.exists(both, lambda x: F.coalesce(x, F.lit(False)))
 
-        return let(packed, lambda order: covered(dup(order)))
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        whole = lambda: F.transform(pairs, lambda x: x["i"])
+        chosen = let(packed, lambda order: F.when(mixed(order), whole()).otherwise(F.transform(order, place)))
+        chosen = F.when(F.size(hashes) > (1 << _POSITION_BITS), whole()).otherwise(chosen)
+        return let(chosen, lambda places: covered(dup(places, hashes)))
 
     windows = lambda w: F.transform(
         F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
@@ -95,7 +107,8 @@ def judge_lines(
     so that exact copies of a text count each) is removed; a document
     that loses more than ``max_removed`` of its characters is not kept. Null text counts as empty and
     fails the base rules; a null source is a host of its own. Rows that repeat a doc_id and text get
-    equal results. Only doc_id, source and text are read of ``docs``.
+    equal results. Texts of any length are read whole; an empty table gives no row. Only doc_id, source and
+    text are read of ``docs``.
     """
     docs = docs.select("doc_id", "source", "text")
     lines = line_rows(docs)
