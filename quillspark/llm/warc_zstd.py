@@ -4,13 +4,15 @@ Each archive begins with a skippable frame that holds the dictionary, built from
 each record is one frame compressed with it, so any record can be read alone. A page whose payload an
 earlier page has is a revisit record without the payload, which names the page it repeats.
 
-Archives are written by tasks to a folder that all executors share, under a name that only appears when
-the file is whole: a task that runs again writes the same names again.
+Archives are written by tasks to a folder that all executors share. A file's name holds the attempt of the
+task and appears when the file is whole; the manifest lists the files of the attempts that Spark committed, so
+a task that runs again, or twice at a time, neither replaces nor doubles a record.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,12 +52,12 @@ def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {quote(url or '', safe=chr(47) + ':?#[]@!$&()*+,;=%~.-_' + chr(39))}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -82,24 +84,21 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def dictionary(records: list[bytes], s: Settings) -> bytes:
-    """A dictionary built from evenly spaced records, or empty bytes if there is too little to learn from."""
+    """A dictionary built from evenly spaced records; of too few to learn from, it is their beginnings."""
     total = sum(map(len, records))
     step = max(1, -(-total // s.sample_bytes))
-    some = [r[: s.dictionary_bytes] for r in records[::step]]
+    some, size = [r[: s.dictionary_bytes] for r in records[::step]], min(s.dictionary_bytes, max(256, total // 16))
     try:
-        return zstandard.train_dictionary(min(s.dictionary_bytes, max(256, total // 16)), some, level=s.level, k=256, d=8).as_bytes()
+        return zstandard.train_dictionary(size, some, level=s.level, k=256, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(r[: max(64, size // len(some))] for r in some)[:size]
 
 
 def pack(records: list[bytes], s: Settings) -> Iterator[bytes]:
     """The bytes of an archive: dictionary frame, then a frame for each record."""
     data = dictionary(records, s)
-    if data:
-        yield struct.pack("<II", _SKIPPABLE, len(data)) + data
-        packer = zstandard.ZstdCompressor(level=s.level, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=True)
-    else:
-        packer = zstandard.ZstdCompressor(level=s.level, write_content_size=True)
+    yield struct.pack("<II", _SKIPPABLE, len(data)) + data
+    packer = zstandard.ZstdCompressor(level=s.level, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=True)
     for r in records:
         yield packer.compress(r)
 
@@ -141,8 +140,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, s: Settings = Settings
     """Writes all pages; path, records, bytes of each archive. ``pages``: page_id, url, html.
 
     A null html is an empty payload, a null url an empty one; characters a header can't hold are
-    percent-encoded. Rows that repeat a page_id and payload are all written, the payload with each.
-    Other columns are not read. A page_id must not be null.
+    percent-encoded. Rows that repeat a page_id and payload are all written, the payload with each; a page
+    without a page_id is always a response. An empty table gives no archive. Other columns are not read.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
@@ -160,8 +159,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, s: Settings = Settings
 
         def write() -> pa.RecordBatch:
             nonlocal number, held, size
-            path = f"{root}/part-{task.partitionId():05d}-{number:04d}.warc.zst"
-            unfinished = f"{path}.{task.taskAttemptId()}"
+            path = f"{root}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{number:04d}.warc.zst"
+            unfinished = f"{path}.unfinished"
             n = 0
             with store.open_output_stream(unfinished, compression=None) as out:
                 for frame in pack(held, s):
@@ -190,13 +189,14 @@ def write_archives(spark: SparkSession, pages: DataFrame, s: Settings = Settings
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record.
 
-    A revisit's ``payload`` is null; its length and digest are those of the payload it repeats.
+    A revisit's ``payload`` is null; its length and digest are those of the payload it repeats. A payload
+    that has another length or digest than its header says is an error. A page_id that was null is null.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        number = lambda urn: int(urn.rpartition(":")[2].rstrip(">"))
+        number = lambda urn: int(n) if (n := urn.rpartition(":")[2].rstrip(">")) else None
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -212,8 +212,8 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                         to = number(head["WARC-Refers-To"]) if revisit else None
                         length = int(head["WARC-Payload-Length"])
-                        if not revisit and length != len(payload):
-                            raise ValueError("a payload has another length than its header says")
+                        if not revisit and (length, digest) != (len(payload), base32(hashlib.sha1(payload).hexdigest())):
+                            raise ValueError("a payload has another length or digest than its header says")
                         rows.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], length, digest, head["WARC-Type"], to, None if revisit else payload))
                         size += len(raw)
                         if size >= 4 << 20:
