@@ -4,7 +4,8 @@ Merges run from the best rank to the worst. Text that is still to come can chang
 of it only through a chain of merges of rising rank, each of which takes in one symbol more on its left;
 the longest such chain that the merge list allows is its sufficient lookahead. Tokens that end so many
 characters before the last one read are stable. The transducer therefore holds only the lookahead and one
-block of a pre-token, however long this is.
+block of a pre-token, however long this is. A text is composed (NFC) in parts, cut where no character joins
+to the one before; only a run of characters that do, such as accents upon accents, is held until it ends.
 """
 
 from __future__ import annotations
@@ -22,8 +23,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that never join to what stands before them when a text is composed (NFC).
-_STARTS = r"[\x00-\x7FЀ-҂ぁ-ゖァ-ヺ一-鿿]"
+
+@cache
+def joining() -> frozenset[str]:
+    """Characters that may join to what stands before them, or change places with it, when a text is composed
+    (NFC): marks, second parts of compositions (Hangul vowels and finals too), and what decomposes into either."""
+    every = map(chr, range(0x110000))
+    parts = {c: unicodedata.normalize("NFD", c) for c in every if unicodedata.decomposition(c) and unicodedata.decomposition(c)[0] != "<"}
+    seconds = {p[-1] for p in parts.values() if len(p) > 1} | set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    seconds |= {unicodedata.normalize("NFC", p[1:])[0] for p in parts.values() if len(p) > 1}
+    first = lambda c: parts.get(c, c)[0]
+    return frozenset(c for c in map(chr, range(0x110000)) if unicodedata.combining(first(c)) or first(c) in seconds)
 
 
 def byte_alphabet() -> list[str]:
@@ -171,7 +181,7 @@ class Encoder:
         self.open: Piece | None = None  # a long piece that may go on
         self.kind: regex.Pattern | None = None
         self._letters, self._rest = regex.compile(r"\p{L}*"), regex.compile(r"[^\s\p{L}\p{N}]*")
-        self._starts = regex.compile(_STARTS)
+        self._joining = joining() if model.nfc else frozenset()
 
     def _mapped(self, piece: str) -> str:
         alphabet = self.alphabet
@@ -200,7 +210,8 @@ class Encoder:
 
     def _safe(self, raw: str) -> int:
         """Where ``raw`` may be cut: before white space if there is some, else before a character that joins
-        to nothing before it and can't lie in a special token."""
+        to nothing before it and can't lie in a special token. So little more than a run of joining
+        characters is held."""
         for k in range(len(raw) - 1, max(-1, len(raw) - 4096), -1):
             if raw[k].isspace():
                 return k
@@ -209,7 +220,7 @@ class Encoder:
         return self._start(raw, min([k for k in heads if k >= 0], default=len(raw) - 1))
 
     def _start(self, raw: str, k: int) -> int:
-        while k > 0 and not self._starts.match(raw[k]):
+        while k > 0 and raw[k] in self._joining:
             k -= 1
         return k
 
@@ -289,8 +300,8 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, part: i
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (null unless ``keep_ids``) for every row.
 
     ``path``: the vocabulary file, at the same place on all executors. Texts go through encoder and decoder
-    in parts of ``part`` characters. A null or empty text has no tokens. Only doc_id and text are read;
-    repeated rows give repeated rows.
+    in parts of ``part`` characters, however long they are. A null or empty text has no tokens. Only doc_id
+    and text are read; repeated rows give repeated rows, a null doc_id stays null, an empty table gives no row.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
