@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, sized
+from .common import materialise, repeated, sized
 from .shingles import Words, shingles
 
 
@@ -208,16 +208,34 @@ class _Search:
             self.classes.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi"
         ).dropDuplicates(["doc_id", "content"])
         members = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-        shared = members.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-        self.members = materialise(spark, members.join(shared.select("band"), "band", "left_semi"), "members")
+        shared = members.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("rep").alias("k")).where("lo < hi")
+        self.members = materialise(spark, self.meet(members, shared.select("band", "k"), "shared").drop("k"), "members")
         ids = self.members.select(F.col("rep").alias("doc_id")).distinct()
         ids = sized(materialise(spark, ids, "candidates"), s.broadcast_rows)
-        # one document for each class; rows that repeat are dropped, the set is the same
-        sets = shingle_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+        sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"))
+        # rows that repeat a doc_id are met once; the others need no shuffle of their sets
+        again = materialise(spark, repeated(self.rows).join(ids, "doc_id", "left_semi"), "repeated")
+        if not again.isEmpty():
+            again = sized(again, s.broadcast_rows)
+            once = sets.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
+            sets = sets.join(again, "doc_id", "left_anti").union(once)
         self.sets = materialise(spark, sets, "sets")
         self.tested: DataFrame | None = None
         self.stars: DataFrame | None = None
 
+    def meet(self, members: DataFrame, bands: DataFrame, name: str) -> DataFrame:
+        """``members`` with the columns of ``bands`` (band, k: how many members it has, and more), a row per band.
+
+        Members are not dealt by band: a small table of bands is broadcast. Of a larger one, the bands that hold
+        a ten-thousandth of all members are, of which there are ten thousand at most; only the rest is shuffled."""
+        bands = materialise(self.spark, bands, name)
+        if bands.count() <= self.s.broadcast_rows:
+            return members.join(F.broadcast(bands), "band")
+        most = bands.agg(F.sum("k")).first()[0] / 10_000
+        hot = F.broadcast(bands.where(F.col("k") >= most))
+        cold = members.join(hot.select("band"), "band", "left_anti").join(bands.where(F.col("k") < most), "band")
+        return members.join(hot, "band").unionByName(cold)
+
     def verify(self, pairs: DataFrame) -> None:
         """Adds the pairs (a, b) whose full sets are similar enough to the links."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -242,8 +260,8 @@ class _Search:
             found = sized(self.stars.toDF("rep", "component"), self.s.broadcast_rows)
             known = members.drop("component").join(found, "rep", "left")
             known = known.withColumn("component", F.coalesce("component", "rep"))
-        mixed = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return materialise(self.spark, known.join(mixed.select("band"), "band", "left_semi"), "open")
+        mixed = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("rep").alias("k"))
+        return materialise(self.spark, self.meet(known, mixed.where("lo < hi").select("band", "k"), "mixed").drop("k"), "open")
 
     @staticmethod
     def few(members: DataFrame) -> bool:
@@ -254,13 +272,25 @@ class _Search:
         return (pairs or 0) <= 4 * (rows or 0)
 
     def split(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of the bands with few open pairs, and rep, component of those of the crowded bands."""
-        parts = members.groupBy("band", "component").agg(F.count("rep").alias("k"))
-        bands = parts.groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        crowded = bands.where(F.col("k") * F.col("k") - F.col("same") > 2 * self.s.crowd * F.col("k")).select("band")
-        crowded = sized(materialise(self.spark, crowded, "crowded"), self.s.broadcast_rows)
-        crowd = members.join(crowded, "band", "left_semi").select("rep", "component").distinct()
-        return members.join(crowded, "band", "left_anti"), materialise(self.spark, crowd, "crowd")
+        """Pairs (a, b) of different components in bands with few of them, and rep, component of the members of
+        crowded bands."""
+        parts = members.groupBy("band", "component").agg(F.count("rep").alias("n"))
+        bands = parts.groupBy("band").agg(
+            F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max_by("component", F.struct("n", "component")).alias("major")
+        )
+        crowded = F.col("k") * F.col("k") - F.col("same") > 2 * self.s.crowd * F.col("k")
+        rows = self.meet(members, bands.select("band", "k", "major", crowded.alias("crowded")), "bands").drop("k")
+        rows = materialise(self.spark, rows, "split")
+        # of a band's members, those of its largest component meet only the others
+        few = rows.where("not crowded").select("band", "rep", "n", "component", (F.col("component") == F.col("major")).alias("most"))
+        a = sized(few.where("not most"), self.s.broadcast_rows).alias("a")
+        met = few.alias("b").join(a, F.col("a.band") == F.col("b.band")).where(
+            (F.col("a.component") != F.col("b.component"))
+            & (F.col("b.most") | (F.col("a.rep") < F.col("b.rep")))
+            & _long_enough(F.col("a.n"), F.col("b.n"), self.s.percent)
+        )
+        pairs = met.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
+        return pairs, materialise(self.spark, rows.where("crowded").select("rep", "component").distinct(), "crowd")
 
     def rare_pairs(self, crowd: DataFrame) -> DataFrame:
         """Pairs (a, b) of ``crowd`` (rep, component) of different components that share a shingle where
@@ -294,8 +324,8 @@ class _Search:
             if k and self.few(members):
                 break
             order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
-            leaders = members.groupBy("band").agg(F.min_by(F.struct("rep", "n", "component"), order).alias("lead"))
-            pairs = members.join(leaders, "band").where(
+            leaders = members.groupBy("band").agg(F.min_by(F.struct("rep", "n", "component"), order).alias("lead"), F.count("rep").alias("k"))
+            pairs = self.meet(members, leaders, "leaders").where(
                 (F.col("component") != F.col("lead.component")) & _long_enough(F.col("n"), F.col("lead.n"), percent)
             )
             pairs = pairs.select(
@@ -308,16 +338,7 @@ class _Search:
             if pairs.isEmpty():
                 break
             self.verify(pairs)
-        few, crowd = self.split(self.open_members(members))
-        a, b = few.alias("a"), few.alias("b")
-        pairs = a.join(
-            b,
-            (F.col("a.band") == F.col("b.band"))
-            & (F.col("a.rep") < F.col("b.rep"))
-            & (F.col("a.component") != F.col("b.component"))
-            & _long_enough(F.col("a.n"), F.col("b.n"), percent),
-        )
-        pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+        pairs, crowd = self.split(self.open_members(members))
         if not crowd.isEmpty():
             pairs = pairs.union(self.rare_pairs(crowd))
         pairs = self.untested(pairs.distinct())
@@ -335,7 +356,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings
     ``component_id`` is the least doc_id that links of at least ``percent`` per cent Jaccard reach, the
     document itself included; ``kept`` marks it. Documents without a word have an empty set and link with
     nothing, and so do rows of a null doc_id (their component is null; they are kept). Texts of equal sets
-    are linked. Repeated rows give repeated, equal rows. Only doc_id and text are read.
+    are linked. Repeated rows give repeated, equal rows; if rows of a doc_id have several texts, equal texts
+    are linked for each, similar ones for the least of them. Texts of any length are read whole; an empty table gives no row. Only doc_id and text are read.
     """
     search = _Search(spark, docs, s)
     found = sized(search.run(), s.broadcast_rows)

@@ -49,6 +49,11 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """The doc_ids that several rows have."""
+    return rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
