@@ -251,3 +251,19 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, s: Sett
         part = docs.mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     return found
+
+
+def without_items(spark: SparkSession, docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, with all of their columns, whose text holds none of ``items``. Each row is judged by
+    its own text, whatever its doc_id; null and empty texts hold nothing and stay."""
+    for index in item_blocks(spark, items, s):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words, index = Words(_PUNCTUATION), shared.value
+            for b in batches:
+                texts = [words(text or b"") for text in b.column("text").cast(pa.binary()).to_pylist()]
+                yield b.filter(pa.array([not hits for hits in index.find_all(texts)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

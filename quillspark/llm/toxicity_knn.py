@@ -213,3 +213,16 @@ def score_documents(spark: SparkSession, docs: DataFrame, index: Index) -> DataF
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, score double, evidence string")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, index: Index, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all of their columns, whose text scores below ``least``. Each row is judged by
+    its own text, whatever its doc_id; null and empty texts score as in ``score_documents``."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            yield b.filter(pa.array([index.score(t)[0] < least for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
