@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions.text import normalise_text
+from ..functions.text import normalise_text, tokens_estimate
 
 
 @dataclass(frozen=True)
@@ -25,44 +23,43 @@ class Sizes:
 
 
 def fixed_offsets(length: Column, s: Sizes) -> Column:
-    """Array of (start, end) of fixed windows; a short last window joins the one before it."""
+    """Array of (start, end, total) of fixed windows; a short last window joins the one before it."""
     step = s.size - s.overlap
     n = F.when(length <= s.size, 1).otherwise(F.ceil((length - s.size) / step) + 1).cast("int")
     n = F.when((n > 1) & (length - (n - 1) * step < s.least), n - 1).otherwise(n)
     at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * step)
     last = (n - 1) * step
-    return F.transform(at, lambda x: F.struct(x.cast("int").alias("start"), F.when(x == last, length).otherwise(F.least(x + s.size, length)).cast("int").alias("end")))
+    end = lambda x: F.when(x == last, length).otherwise(F.least(x + s.size, length)).cast("int")
+    return F.transform(at, lambda x: F.struct(x.cast("int").alias("start"), end(x).alias("end"), n.alias("total")))
 
 
 def fixed_chunks(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
     """A row per chunk of ``docs`` (doc_id, content): chunk_id, doc_id, chunk_index, total_chunks, offset_start,
-    offset_end, content. Blank texts have no chunk."""
+    offset_end, content. Blank texts have no chunk. Contents are cut before the rows are multiplied, so no row
+    carries the whole text, and nothing is shuffled."""
     rows = docs.select("doc_id", normalise_text(F.col("content")).alias("text")).where("text <> ''")
-    rows = rows.select("doc_id", "text", F.posexplode(fixed_offsets(F.length("text"), s)).alias("chunk_index", "at"))
-    content = F.substr("text", F.col("at.start") + 1, F.col("at.end") - F.col("at.start"))
-    return with_ids(rows.select("doc_id", "chunk_index", F.col("at.start").alias("offset_start"), F.col("at.end").alias("offset_end"), content.alias("content")))
+    part = lambda x: F.struct(x["start"], x["end"], x["total"], F.substr("text", x["start"] + 1, x["end"] - x["start"]).alias("content"))
+    rows = rows.select("doc_id", F.posexplode(F.transform(fixed_offsets(F.length("text"), s), part)).alias("chunk_index", "c"))
+    return rows.select(
+        chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", F.col("c.total").alias("total_chunks"),
+        F.col("c.start").alias("offset_start"), F.col("c.end").alias("offset_end"), "c.content",
+    )
 
 
-def with_ids(rows: DataFrame) -> DataFrame:
-    total = F.count("chunk_index").over(W.partitionBy("doc_id")).cast("int")
-    ids = F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.lpad(F.col("chunk_index").cast("string"), 5, "0"))
-    return rows.withColumns({"total_chunks": total, "chunk_id": ids})
+def chunk_id(doc_id: Column, index: Column) -> Column:
+    return F.concat(doc_id.cast("string"), F.lit("_"), F.lpad(index.cast("string"), 5, "0"))
 
 
-# Where a window may end, best first: after a paragraph, a sentence, a line, a clause, a word.
-_BREAKS = [re.compile(p) for p in (r"\n\n", r"[.!?。！？]\s", r"\n", r"[,;:，；：]\s?", r"\s")]
+# After which strings a window may end, the best first.
+BREAKS = ("\n\n", ". ", "。", "! ", "? ", "！", "？", "\n", ", ", "、", "; ", ": ", " ")
 
 
-def break_point(text: str, start: int, end: int) -> int:
-    """The end of the window [start, end): the last break of the best kind in its last fifth, else ``end``."""
-    if end >= len(text):
-        return len(text)
-    low = start + int((end - start) * 0.8)
-    for pattern in _BREAKS:
-        found = [m for m in pattern.finditer(text, low, end) if m.start() > low]
-        if found:
-            return found[-1].end()
-    return end
+def break_point(text: str, start: int, end: int, size: int) -> int:
+    """The end of the window [start, end): behind the last break of the best kind that begins after the first
+    character of the last fifth of ``size``; ``end`` if there is none."""
+    low = max(start, end - int(size * 0.2))
+    ends = (at + len(b) for b in BREAKS if (at := text.rfind(b, low + 1, end)) >= 0)
+    return next(ends, end) if end < len(text) else len(text)
 
 
 def split_text(text: str, s: Sizes) -> list[tuple[int, int, str]]:
@@ -70,16 +67,17 @@ def split_text(text: str, s: Sizes) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     start = 0
     while start < len(text):
-        end = break_point(text, start, min(start + s.size, len(text)))
+        end = break_point(text, start, min(start + s.size, len(text)), s.size)
         part = text[start:end].strip()
         if out and len(part) < s.least and len(out[-1][2]) + len(part) + 1 <= s.most:
-            a, _, before = out.pop()
-            out.append((a, end, f"{before} {part}"))
+            if part:
+                out[-1] = (out[-1][0], end, f"{out[-1][2]} {part}")
         elif part:
             out.append((start, end, part))
         if end >= len(text):
             break
-        start = max(end - s.overlap, start + 1)
+        # a step back that would not get past the last chunk's start is left out
+        start = end - s.overlap if out and end - s.overlap > out[-1][0] else end
     return out
 
 
@@ -89,7 +87,35 @@ def break_chunks(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [(d, i, *c) for d, t in zip(f.doc_id, f.text) for i, c in enumerate(split_text(t, s))]
-            yield pd.DataFrame(found, columns=["doc_id", "chunk_index", "offset_start", "offset_end", "content"])
-
-    return with_ids(rows.mapInPandas(run, "doc_id long, chunk_index int, offset_start int, offset_end int, content string"))
+            parts = [(d, split_text(t, s)) for d, t in zip(f.doc_id, f.text)]
+            found = [(d, i, len(chunks), *c) for d, chunks in parts for i, c in enumerate(chunks)]
+            yield pd.DataFrame(found, columns=["doc_id", "chunk_index", "total_chunks", "offset_start", "offset_end", "content"])
+
+    rows = rows.mapInPandas(run, "doc_id long, chunk_index int, total_chunks int, offset_start int, offset_end int, content string")
+    return rows.select(chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "*")
+
+
+def chunk_results(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
+    """doc_id, chunks, tokens, success, error: what chunking each of ``docs`` gives. A blank text is an error."""
+    text = normalise_text(F.col("content"))
+    blank = text == ""
+    n = F.when(blank, 0).otherwise(F.size(fixed_offsets(F.length(text), s)))
+    return docs.select(
+        "doc_id", n.cast("int").alias("chunks"), tokens_estimate(text, 3).alias("tokens"), (~blank).alias("success"),
+        F.when(blank, "Empty document text").alias("error"),
+    )
+
+
+def rechunk(docs: DataFrame, old: DataFrame, s: Sizes = Sizes(), least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(chunks, outcome): the chunk table with the chunks of ``docs`` in place of their old ones, and doc_id,
+    removed, written, estimate for each document. Documents of fewer than ``least`` characters are skipped and
+    keep their old chunks."""
+    long = F.length(F.trim(F.coalesce("content", F.lit("")))) >= least
+    todo = docs.where(long)
+    new = fixed_chunks(todo, s)
+    kept = old.join(todo.select("doc_id"), "doc_id", "left_anti").select(*new.columns)
+    removed = old.groupBy("doc_id").agg(F.count(F.lit(1)).alias("removed"))
+    estimate = F.greatest(F.lit(1), F.floor(F.length("content") / s.size)).cast("int")
+    outcome = chunk_results(docs, s).join(removed, "doc_id", "left").join(docs.select("doc_id", long.alias("long"), estimate.alias("estimate")), "doc_id")
+    zero = lambda c: F.when(F.col("long"), F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
+    return kept.unionByName(new), outcome.select("doc_id", zero(F.col("removed")).alias("removed"), zero(F.col("chunks")).alias("written"), zero(F.col("estimate")).alias("estimate"))

@@ -52,10 +52,12 @@ def sessions(chats: DataFrame) -> DataFrame:
 
 
 def even_sample(chunks: DataFrame, n: int) -> DataFrame:
-    """At most ``n`` chunks of each document, evenly spaced in order (chunk_index, total_chunks)."""
-    size = F.col("total_chunks").cast("double") / n
-    at = F.floor(F.ceil(F.col("chunk_index") / size - 1e-12).cast("double") * size)
-    return chunks.where((F.col("total_chunks") <= n) | (at == F.col("chunk_index")))
+    """At most ``n`` chunks of each document, evenly spaced in order: those at floor(i * total_chunks / n), with
+    the step as a double. A chunk's i is the quotient of its index and the step, or a neighbour of it."""
+    step, k = F.col("total_chunks").cast("double") / n, F.col("chunk_index")
+    near = F.array(*(F.floor(k / step) + d for d in (-1, 0, 1)))
+    taken = F.exists(near, lambda i: (i >= 0) & (i < n) & (F.floor(i.cast("double") * step) == k))
+    return chunks.where((F.col("total_chunks") <= n) | taken)
 
 
 def grouped_parts(chunks: DataFrame, size: int = 5) -> DataFrame:

@@ -135,14 +135,17 @@ def query(sql: str, *parts: str):
 # Sources ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT path, exists_hidden AS skipped FROM (SELECT path, len(list_filter(string_split(path, '/')[1:-2], lambda x: starts_with(x, '.') OR lower(x) = 'src3')) > 0 AS exists_hidden FROM docs)""", "docs")
+@query("""SELECT path, len(list_filter(string_split(rest, '/')[1:-2], lambda x: starts_with(x, '.') OR lower(x) = 'src3')) > 0 AS skipped FROM (
+SELECT '/home/.hidden' || path AS path, CASE WHEN doc_id % 2 = 0 THEN substr(path, 9) ELSE '/home/.hidden' || path END AS rest FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN path ELSE '/other' || path END AS path FROM docs))""", "docs")
 def s2_folder_predicate(spark, sf):
-    return _docs(spark, sf).select("path", files.skipped_folder(F.col("path"), ("SRC3",)).alias("skipped"))
+    """Of two roots, the first lies in a hidden folder; files elsewhere are judged by all of their folders."""
+    path = F.concat(F.lit("/home/.hidden"), F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("/other"), "path")))
+    return _docs(spark, sf).select(path.alias("path")).select("path", files.skipped_folder(F.col("path"), ("SRC3",), ("/home/.hidden/corpus", "/data")).alias("skipped"))
 
 
-@query("SELECT path, ext IN ('.csv') OR ext IN ('.zip', '.py') AS skipped FROM docs", "docs")
+@query("SELECT path, ext IN ('.csv', '.zip', '.py') OR doc_id IN (2, 3) AS skipped FROM docs", "docs")
 def s3_file_predicate(spark, sf):
-    return _docs(spark, sf).select("path", files.skipped_file(F.col("path"), excluded=(".csv",)).alias("skipped"))
+    return _docs(spark, sf).select("path", files.skipped_file(F.col("path"), names=("2.TXT", "3.Md"), excluded=(".CSV",)).alias("skipped"))
 
 
 @query("SELECT doc_id, sha256(coalesce(content, '')) AS sha256 FROM docs", "docs")
@@ -235,11 +238,11 @@ def x11_positions(spark, sf):
     return e.select("event_id", F.round(T.dms_to_decimal(F.col("user_id") % 90, F.col("event_id") % 60, F.col("value"), side), 9).alias("degrees"))
 
 
-@query("""SELECT doc_id, sha256(path) AS id, CAST(doc_id AS VARCHAR) AS title, CASE ext WHEN '.pdf' THEN 'document' WHEN '.docx' THEN 'document' WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text'
+@query("""SELECT doc_id, sha256(path) AS id, CASE WHEN doc_id % 3 = 0 THEN 'About ' || source ELSE CAST(doc_id AS VARCHAR) END AS title, CASE ext WHEN '.pdf' THEN 'document' WHEN '.docx' THEN 'document' WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text'
  WHEN '.py' THEN 'code' WHEN '.jpg' THEN 'image' WHEN '.csv' THEN 'spreadsheet' ELSE 'other' END AS category FROM docs""", "docs")
 def x13_x15_identity(spark, sf):
     p = F.col("path")
-    return _docs(spark, sf).select("doc_id", F.sha2(p, 256).alias("id"), T.title(p, F.lit(None).cast("string")).alias("title"), T.category(T.extension(p)).alias("category"))
+    return _docs(spark, sf).select("doc_id", F.sha2(p, 256).alias("id"), T.title(p, F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("About "), "source")).when(F.col("doc_id") % 3 == 1, "")).alias("title"), T.category(T.extension(p)).alias("category"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '{"lang":"' || lang || '","source":"' || source || '"}' ELSE '{"lang":"' || lang || '"}' END AS metadata FROM docs""", "docs")
@@ -471,12 +474,18 @@ def g8_system_context(spark, sf):
     return rag.with_system(_chats(spark, sf), "You have files.")
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(p, 'summariz(e|ation)') THEN 'summarize' WHEN regexp_matches(p, '\b(how many|count|do you have)\b') THEN 'factual' ELSE 'rag' END AS intent FROM (
-SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'please summarize ' || text WHEN turn % 3 = 1 THEN 'How many? ' || text ELSE text END AS p0, lower(p0) AS p FROM conversations WHERE role = 'user')""")
+#: What is said before the text of a user's turn, one after the other: every sign of a wish, and none.
+_WISHES = ["Please", "RÉSUME-moi ceci:", "count, then summarize", *(f"{x}ing" for x in T.SUMMARY), *(f"({x.upper()})" for x in T.FACTUAL)]
+_SQL["prompts"] = r"""prompts AS (SELECT conv_id, turn, list_value(""" + ", ".join(f"'{x}'" for x in _WISHES) + rf""")[CAST((conv_id + turn) % {len(_WISHES)} AS INT) + 1] || ' ' || coalesce(text, '') AS prompt FROM conversations WHERE role = 'user'),
+ said AS (SELECT conv_id, turn, ' ' || array_to_string(regexp_extract_all(lower(prompt), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS p FROM prompts)"""
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN len(list_filter({list(T.SUMMARY)}, lambda x: contains(p, ' ' || x))) > 0 THEN 'summarize'
+ WHEN len(list_filter({list(T.FACTUAL)}, lambda x: contains(p, ' ' || x || ' '))) > 0 THEN 'factual' ELSE 'rag' END AS intent FROM said""", "prompts")
 def g12_intents(spark, sf):
     c = _chats(spark, sf).where("role = 'user'")
-    p = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("please summarize "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("How many? "), "text")).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", T.intent(p).alias("intent"))
+    wish = F.element_at(F.array(*map(F.lit, _WISHES)), ((F.col("conv_id") + F.col("turn")) % len(_WISHES)).cast("int") + 1)
+    return c.select("conv_id", "turn", T.intent(F.concat(wish, F.lit(" "), F.coalesce("text", F.lit("")))).alias("intent"))
 
 
 @query("SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size FROM docs WHERE starts_with(path, '/corpus/src1') GROUP BY source", "docs")
@@ -484,7 +493,8 @@ def g14_count_below_prefix(spark, sf):
     return _docs(spark, sf).where(F.col("path").startswith("/corpus/src1")).groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"))
 
 
-@query("SELECT doc_id, chunk_index FROM chunks WHERE total_chunks <= 4 OR floor(ceil(chunk_index / (total_chunks / 4.0::DOUBLE) - 1e-12) * (total_chunks / 4.0::DOUBLE)) = chunk_index", "chunks")
+@query("""SELECT doc_id, chunk_index FROM chunks WHERE total_chunks <= 4 UNION ALL
+SELECT doc_id, CAST(floor(unnest([0, 1, 2, 3]) * (total_chunks / 4.0::DOUBLE)) AS INT) FROM chunks WHERE total_chunks > 4 AND chunk_index = 0""", "chunks")
 def g19_even_sample(spark, sf):
     return rag.even_sample(_chunks(spark, sf), 4).select("doc_id", "chunk_index")
 

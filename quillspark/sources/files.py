@@ -23,16 +23,27 @@ def scan(spark: SparkSession, roots: list[str], with_hash: bool = False) -> Data
     )
 
 
-def skipped_folder(path: Column, excluded: tuple[str, ...]) -> Column:
-    """Whether a folder of the path is hidden or excluded, in any case."""
-    parts = F.split(path, "/")
+def below(path: Column, roots: tuple[str, ...]) -> Column:
+    """The path from the longest of ``roots`` on that it lies under; else as it is."""
+    rest = path
+    for root in sorted(roots, key=len):
+        head = root.rstrip("/") + "/"
+        rest = F.when(path.startswith(head), F.substr(path, F.lit(len(head) + 1))).otherwise(rest)
+    return rest
+
+
+def skipped_folder(path: Column, excluded: tuple[str, ...], roots: tuple[str, ...] = ()) -> Column:
+    """Whether a folder of the path, below its root, is hidden or excluded, in any case."""
+    parts = F.split(below(path, roots), "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.exists(folders, lambda x: x.startswith(".") | F.lower(x).isin(*map(str.lower, excluded)))
 
 
 def skipped_file(path: Column, names: tuple[str, ...] = (), excluded: tuple[str, ...] = (), supported: tuple[str, ...] = EXTENSIONS) -> Column:
+    """Whether the file is hidden, has one of ``names`` or an ``excluded`` extension, in any case, or none that is ``supported``."""
     name, ext = file_name(path), extension(path)
-    return name.startswith(".") | F.lower(name).isin(*names or ("",)) | ext.isin(*excluded or ("",)) | ~ext.isin(*supported)
+    low = lambda x: [v.lower() for v in x] or [""]
+    return name.startswith(".") | F.lower(name).isin(*low(names)) | ext.isin(*low(excluded)) | ~ext.isin(*low(supported))
 
 
 def diff(old: DataFrame, new: DataFrame, by_hash: bool = False) -> DataFrame:

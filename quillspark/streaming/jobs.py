@@ -13,11 +13,12 @@ FILES = "path string, size long, mtime timestamp"
 
 
 def index_new_files(spark: SparkSession, listings: str, checkpoint: str, indexed: Callable[[], DataFrame], work: Callable[[DataFrame], None], once: bool = True):
-    """Reads file lists (Parquet of ``FILES``) as they arrive and hands ``work`` the rows whose path and mtime
-    are not in ``indexed()``. ``work`` may run again for a batch, so it has to be an upsert."""
+    """Reads file lists (Parquet of ``FILES``) as they arrive and hands ``work`` the newest version of each path
+    whose path and mtime are not in ``indexed()``. ``work`` may run again for a batch, so it has to be an upsert."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        work(rows.dropDuplicates(["path"]).join(indexed().select("path", "mtime"), ["path", "mtime"], "left_anti"))
+        newest = rows.groupBy("path").agg(F.max_by(F.struct("size", "mtime"), F.struct("mtime", "size")).alias("last")).select("path", "last.*")
+        work(newest.join(indexed().select("path", "mtime"), ["path", "mtime"], "left_anti"))
 
     stream = spark.readStream.schema(FILES).parquet(listings).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="5 seconds")).start()
@@ -29,26 +30,30 @@ def suppress_duplicates(tasks: DataFrame, within: str = "10 minutes") -> DataFra
     return tasks.withWatermark("added_at", within).dropDuplicatesWithinWatermark(["file_path", "task_type"])
 
 
+def task_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, stuck_after_ms: int) -> Iterator[pd.DataFrame]:
+    """One task's events of a batch, or its timeout, which leaves the place in the log as it was: older events
+    that come late stay without effect."""
+    seq, status, failures = state.get if state.exists else (-1, "pending", 0)
+    if state.hasTimedOut:
+        status = "pending" if status == "processing" else status
+    else:
+        for f in frames:
+            failures += int((f.status == "failed").sum())
+            last = f.loc[f.seq.idxmax()]
+            if last.seq > seq:
+                seq, status = int(last.seq), last.status
+    state.update((seq, status, failures))
+    if status == "processing":
+        state.setTimeoutDuration(stuck_after_ms)
+    yield pd.DataFrame({"task": [key[0]], "status": [status], "failures": [failures]})
+
+
 def task_states(events: DataFrame, stuck_after_ms: int = 600_000) -> DataFrame:
     """task, status, failures after each batch of events (task, seq, status); a task that stays in processing
     past the limit goes back to pending."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, status, failures = state.get
-            status = "pending" if status == "processing" else status
-            state.update((-1, status, failures))
-        else:
-            seq, status, failures = state.get if state.exists else (-1, "pending", 0)
-            for f in frames:
-                failures += int((f.status == "failed").sum())
-                last = f.loc[f.seq.idxmax()]
-                if last.seq > seq:
-                    seq, status = int(last.seq), last.status
-            state.update((seq, status, failures))
-            if status == "processing":
-                state.setTimeoutDuration(stuck_after_ms)
-        yield pd.DataFrame({"task": [key[0]], "status": [status], "failures": [failures]})
+        return task_step(key, frames, state, stuck_after_ms)
 
     return events.groupBy("task").applyInPandasWithState(
         step, "task long, status string, failures long", "seq long, status string, failures long", "update", GroupStateTimeout.ProcessingTimeTimeout
