@@ -85,7 +85,7 @@ def attachments(chats: DataFrame) -> DataFrame:
 def routes(bases: DataFrame, suffixes: DataFrame) -> DataFrame:
     """name, real, enabled of every base (base, real) with every suffix (suffix, enabled): configuration tables."""
     name = F.concat_ws("-", "base", "suffix")
-    return bases.crossJoin(F.broadcast(suffixes)).select(name.alias("name"), "real", "enabled")
+    return bases.crossJoin(suffixes).select(name.alias("name"), "real", "enabled")
 
 
 def resolve(requests: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vector and keyword retrieval of a table of queries, rank fusion, and query expansion."""
+"""Keyword retrieval of a table of queries, rank fusion, and query expansion."""
 
 from __future__ import annotations
 
@@ -8,31 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import document_score, squared_distance, terms
+from ..functions.text import terms
+from . import vectors
+from .tables import materialise, sized
+from .vectors import MOST_QUERIES, knn  # noqa: F401
 
-#: Rows of a query table, or query terms, that are broadcast at once; larger tables are searched block by block.
-MOST_QUERIES = 10_000
+#: Matched words of a block of query terms are broadcast up to so many rows, else joined by shuffle.
+MOST_WORDS = 2_000_000
+#: Words of a query that lie further apart than this, or do not meet in one attribute, count as this far.
+FARTHEST = 8
 
 
 def query_blocks(queries: DataFrame) -> list[DataFrame]:
     """``queries`` (query_id and more) in blocks of about ``MOST_QUERIES`` rows by the hash of query_id."""
-    n = max(1, -(-queries.count() // MOST_QUERIES))
-    return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int, score=document_score, least: float | None = None) -> DataFrame:
-    """query_id, id, distance, score, rank: the ``k`` nearest of ``vectors`` (id, vector) for each row of
-    ``queries`` (query_id, qvector). Filters belong on ``vectors``; the corpus is read once for each block of
-    queries and not shuffled: each task keeps the best ``k`` of a query before the final ranking."""
-
-    def search(block: DataFrame) -> DataFrame:
-        rows = vectors.join(F.broadcast(block)).withColumn("distance", squared_distance(F.col("vector"), F.col("qvector")))
-        rows = rows.select("query_id", "id", F.round("distance", 9).alias("distance"))
-        top = W.partitionBy("query_id").orderBy("distance", "id")
-        return rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
-
-    rows = reduce(DataFrame.union, map(search, query_blocks(queries))).withColumn("score", score(F.col("distance")))
-    return rows if least is None else rows.where(F.col("score") >= least)
+    return vectors.query_blocks(queries, MOST_QUERIES)
 
 
 def postings(docs: DataFrame, attributes: tuple[str, ...] = ("title", "content", "path")) -> DataFrame:
@@ -51,38 +40,78 @@ def typo_budget(term: Column) -> Column:
 
 def matched_terms(query_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """query_id, qpos, term, edits: words of the vocabulary within a query term's budget. Edit distances are
-    computed on distinct words in the band of lengths, once for each distinct query term, never on postings."""
-    q, v = F.broadcast(query_terms.select("qterm").distinct()).alias("q"), vocabulary.alias("v")
-    budget = typo_budget(F.col("q.qterm"))
-    near = F.abs(F.length("v.term") - F.length("q.qterm")) <= budget
-    edits = F.levenshtein("v.term", "q.qterm", 2)
-    found = v.join(q, near & (edits >= 0) & (edits <= budget)).select("qterm", "term", edits.alias("edits"))
-    return found.join(F.broadcast(query_terms), "qterm").select("query_id", "qpos", "term", "edits")
-
-
-def keyword_search(queries: DataFrame, posted: DataFrame, k: int) -> DataFrame:
-    """query_id, id, words, typos, attribute, exact, rank.
-
-    ``queries``: query_id, query. Ranking, in order: more query terms matched, fewer edits, better attribute,
-    more exact terms, id. Postings are dealt by document before they meet the queries, so the hits of a
-    document, of which there may be far more than postings, are summed up where they arise.
+    computed on distinct words, once for each distinct query term; words and terms meet by equal lengths, each
+    term standing under every length that its budget allows."""
+    q = query_terms.select("qterm").distinct().withColumn("budget", typo_budget(F.col("qterm")))
+    n = F.length("qterm")
+    q = q.withColumn("length", F.explode(F.sequence(F.greatest(n - F.col("budget"), F.lit(1)), n + F.col("budget"))))
+    found = vocabulary.withColumn("length", F.length("term")).join(F.broadcast(q), "length")
+    found = found.withColumn("edits", F.levenshtein("term", "qterm", 2)).where("edits between 0 and budget")
+    return found.select("qterm", "term", "edits").join(F.broadcast(query_terms), "qterm").select("query_id", "qpos", "term", "edits")
+
+
+def keyword_search(
+    queries: DataFrame, posted: DataFrame, k: int, proximity: bool = False, sort: DataFrame | None = None, descending: bool = False
+) -> DataFrame:
+    """query_id, id, words, typos, attribute, exact, rank (and ``proximity``).
+
+    ``queries``: query_id, query. Ranking, in order: more query terms matched, fewer edits, with ``proximity``
+    the nearness of neighbouring query terms, better attribute, the key of ``sort`` (id, key; nulls last), more
+    exact terms, id. The query terms of a block meet the vocabulary first, and the few words found meet the
+    postings where these arise, so that hits are summed up before anything is shuffled.
     """
     every = queries.select("query_id", F.posexplode(F.array_distinct(terms(F.col("query")))).alias("qpos", "qterm"))
     vocabulary = posted.select("term").distinct()
-    dealt = posted.select("id", "attr", "term").repartition("id").groupBy("id", "term").agg(F.min("attr").alias("attr"))
+    spark = posted.sparkSession
 
     def search(q: DataFrame) -> DataFrame:
-        hits = dealt.join(F.broadcast(matched_terms(q, vocabulary)), "term")
-        best = hits.groupBy("query_id", "id", "qpos").agg(F.min("edits").alias("edits"), F.min("attr").alias("attr"))
+        words = sized(materialise(spark, matched_terms(q, vocabulary), "matched-words"), MOST_WORDS)
+        best = posted.join(words, "term").groupBy("query_id", "id", "qpos").agg(F.min("edits").alias("edits"), F.min("attr").alias("attr"))
         found = best.groupBy("query_id", "id").agg(
             F.count("qpos").alias("words"), F.sum("edits").alias("typos"), F.min("attr").alias("attribute"), F.count_if(F.col("edits") == 0).alias("exact")
         )
-        order = W.partitionBy("query_id").orderBy(F.desc("words"), "typos", "attribute", F.desc("exact"), "id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        query = W.partitionBy("query_id")
+        order = [F.desc("words"), F.asc("typos")]
+        if proximity or sort is not None:
+            # what comes later in the order matters only for rows that reach the first k places by these two
+            found = found.withColumn("_r", F.rank().over(query.orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+            found = materialise(spark, found, "found")
+        if proximity:
+            found = found.join(nearness(found, posted, words, q), ["query_id", "id"])
+            order.append(F.asc("proximity"))
+        order.append(F.asc("attribute"))
+        if sort is not None:
+            found = found.join(sort.select("id", F.col("key").alias("_key")), "id", "left")
+            order.append(F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_last())
+        rank = F.row_number().over(query.orderBy(*order, F.desc("exact"), "id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("_key")
 
     return reduce(DataFrame.union, map(search, query_blocks(every)))
 
 
+def nearness(found: DataFrame, posted: DataFrame, words: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """query_id, id, proximity: the sum, over neighbouring terms of the query, of the least distance at which both
+    stand in one attribute of the document. Of all occurrences of two terms in order, nearest ones are neighbours."""
+    keys = ["query_id", "id"]
+    hits = posted.join(words, "term").join(found.select(*keys), keys, "left_semi")
+    hits = hits.select(*keys, "attr", "pos", "qpos", F.explode(F.array(F.col("qpos") - 1, F.col("qpos"))).alias("pair"))
+    line = W.partitionBy(*keys, "attr", "pair").orderBy("pos", "qpos")
+    gap = F.when(F.lag("qpos").over(line) != F.col("qpos"), F.greatest(F.lit(1), F.col("pos") - F.lag("pos").over(line)))
+    least = hits.withColumn("gap", gap).groupBy(*keys, "pair").agg(F.min("gap").alias("gap"))
+    saved = least.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), FARTHEST - F.coalesce("gap", F.lit(FARTHEST)))).alias("saved"))
+    size = query_terms.groupBy("query_id").agg((F.max("qpos") * FARTHEST).alias("most"))
+    rows = found.select(*keys).join(F.broadcast(size), "query_id").join(saved, keys, "left")
+    return rows.select(*keys, (F.col("most") - F.coalesce("saved", F.lit(0))).alias("proximity"))
+
+
+def or_all(queries: DataFrame, ranked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query_id, id, rank: ``ranked``, and for each blank query the first ``k`` documents by id."""
+    blank = queries.where(F.trim(F.coalesce("query", F.lit(""))) == "").select("query_id")
+    first = docs.select("id").orderBy("id").limit(k)
+    first = first.withColumn("rank", F.row_number().over(W.orderBy("id")))  # k rows
+    return ranked.select("query_id", "id", "rank").union(blank.crossJoin(F.broadcast(first)))
+
+
 def reciprocal_rank(rank: Column, k: int = 60) -> Column:
     return 1 / (k + rank)
 
@@ -112,8 +141,10 @@ def fuse_scores(semantic: DataFrame, fulltext: DataFrame, weights: tuple[float,
     return rows.select("query_id", "id", F.round(F.least(F.lit(1.0), F.when((s > 0) & (f > 0), total * 1.1).otherwise(total)), 4).alias("score"))
 
 
-def page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
-    return ranked.where(F.col("rank").between(offset + 1, offset + limit))
+def page(ranked: DataFrame, offset: int, limit: int, most: int | None = None) -> DataFrame:
+    """Places ``offset`` + 1 to ``offset`` + ``limit``, none beyond ``most``."""
+    last = offset + limit if most is None else min(offset + limit, most)
+    return ranked.where(F.col("rank").between(offset + 1, last))
 
 
 def append_new(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -137,7 +168,7 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, stop_words: tuple[st
     """
     rows = queries.select("query_id", normalise_query(F.col("query")).alias("q"))
     words = rows.select("query_id", F.posexplode(F.filter(F.split("q", " "), lambda x: ~x.isin(*stop_words) & (x != ""))).alias("i", "term"))
-    more = words.join(F.broadcast(synonyms.where(F.col("pos") <= most)), "term").select("query_id", "i", "pos", F.col("synonym").alias("term"))
+    more = words.join(synonyms.where(F.col("pos") <= most), "term").select("query_id", "i", "pos", F.col("synonym").alias("term"))
     every = words.select("query_id", "i", F.lit(0).alias("pos"), "term").union(more)
     every = every.groupBy("query_id", "term").agg(F.min(F.struct("i", "pos")).alias("at"), F.max("pos").alias("pos"))
     joined = every.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("x"), (F.max("pos") > 0).alias("expanded"))
