@@ -144,6 +144,12 @@ def image_text(name: Column, width: Column, height: Column, kind: Column, date:
     return F.concat_ws("\n", *(line(*p) for p in pairs))
 
 
+def image_details(text: Column, exposure: Column, aperture: Column, iso: Column) -> Column:
+    """``image_text`` with lines for exposure, aperture and ISO, as far as they are there."""
+    line = lambda head, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(head), value))
+    return F.concat_ws("\n", text, line("Exposure: ", exposure), line("Aperture: f/", aperture), line("ISO: ", iso))
+
+
 def crop(text: Column, term: Column, words: int = 200) -> Column:
     """``words`` words of the text around the first that equals ``term``, or from the start."""
     parts = F.split(F.coalesce(text, F.lit("")), " ")

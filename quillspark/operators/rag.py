@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import strip, tokens_estimate, truncate_to_tokens
+from ..functions.text import strip, terms, tokens_estimate, truncate_to_tokens
 
 
 def budget(entries: DataFrame, most: int, header: int) -> DataFrame:
@@ -92,3 +94,180 @@ def resolve(requests: DataFrame, known: DataFrame) -> DataFrame:
     """``requests`` (name) with real, enabled, routed; a name that is no route stands for itself, enabled."""
     rows = requests.join(known, "name", "left").withColumn("routed", F.col("real").isNotNull())
     return rows.withColumns({"real": F.coalesce("real", "name"), "enabled": F.coalesce("enabled", F.lit(True))})
+
+
+def relevant(ranked: DataFrame, limit: int, least: float) -> DataFrame:
+    """Of each query's rows (query_id, id, score, rank) the first ``limit`` whose score is at least ``least``, with
+    rank counted anew."""
+    order = W.partitionBy("query_id").orderBy("rank", "id")
+    rows = ranked.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order))
+    return rows.where(F.col("rank") <= limit)
+
+
+def chunk_context(found: DataFrame, chunks: DataFrame, limit: int = 5, least: float = 0.3) -> DataFrame:
+    """``relevant`` chunks (found: query_id, id = chunk_id, score, rank) with the columns of ``chunks`` and
+    ``documents``, how many distinct documents the query's chunks come from."""
+    rows = relevant(found, limit, least).withColumnRenamed("id", "chunk_id").join(chunks, "chunk_id")
+    seen = F.size(F.collect_set("doc_id").over(W.partitionBy("query_id")))
+    return rows.withColumns({"documents": seen.cast("int"), "score": F.round("score", 4)})
+
+
+def percent(score: Column) -> Column:
+    return F.concat(F.bround(100 * score, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def entry(rank: Column, title: Column, path: Column, score: Column, content: Column, part: Column | None = None, category: Column | None = None) -> Column:
+    """One numbered entry of a context: title (and part n/m), then path, category and relevance as far as they are
+    given, then the content, a line each."""
+    line = lambda head, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"    {head}: "), value))
+    head = F.concat(F.lit("["), rank.cast("string"), F.lit("] "), title, F.lit("") if part is None else F.concat(F.lit(" "), part))
+    shown = F.when(score > 0, percent(score))
+    middle = [line("Path", path), *([] if category is None else [line("Category", category)]), line("Relevance", shown)]
+    return F.concat_ws("\n", head, *middle, line("Content", content))
+
+
+def contexts(entries: DataFrame, head: Column, most: int, header_tokens: int) -> DataFrame:
+    """query_id, context, entries, tokens: each query's entries (query_id, rank, entry, and what ``head`` reads)
+    within the budget, joined by blank lines below ``head``."""
+    kept = budget(entries, most, header_tokens)
+    joined = kept.groupBy("query_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "entry"))), lambda x: x["entry"]), "\n\n").alias("body"),
+        F.count("entry").alias("entries"),
+    )
+    heads = entries.groupBy("query_id").agg(F.first(head).alias("head"))
+    rows = joined.join(heads, "query_id").withColumn("context", F.concat_ws("\n\n", "head", "body"))
+    return rows.select("query_id", "context", "entries", tokens_estimate(F.col("context"), 4).alias("tokens"))
+
+
+def enrich(prompts: DataFrame, chunk_contexts: DataFrame, document_contexts: DataFrame, instruction: str | None = None) -> DataFrame:
+    """query_id, mode (chunks, documents or none), enriched: the context of chunks, else that of documents, before
+    the prompt (query_id, prompt), an instruction before both."""
+    rows = prompts.join(chunk_contexts.select("query_id", F.col("context").alias("_c")), "query_id", "left")
+    rows = rows.join(document_contexts.select("query_id", F.col("context").alias("_d")), "query_id", "left")
+    mode = F.when(F.col("_c").isNotNull(), "chunks").when(F.col("_d").isNotNull(), "documents").otherwise("none")
+    parts = [F.lit(instruction).cast("string"), F.coalesce("_c", "_d"), F.col("prompt")]
+    return rows.select("query_id", mode.alias("mode"), F.concat_ws("\n\n", *parts).alias("enriched"))
+
+
+def system_texts(profiles: DataFrame) -> DataFrame:
+    """profile_id, context of configuration rows (identity, user, folders: array); what is blank is left out."""
+    given = lambda c: F.nullif(strip(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    listed = F.when(F.size("folders") > 0, F.concat(F.lit("Indexed folders:\n"), F.array_join(F.transform("folders", lambda x: F.concat(F.lit("- "), x)), "\n")))
+    return profiles.select("profile_id", F.concat_ws("\n\n", given("identity"), F.concat(F.lit("User: "), given("user")), listed).alias("context"))
+
+
+def prompt_path(prompt: Column, home: str = "/home/user") -> Column:
+    """The first path that a prompt names, under ``~``, a drive or the root, without signs at its end; null if none."""
+    end = r"[^\s,;?!。]"
+    found = F.regexp_extract(prompt, rf"(?:~[/\\]|[A-Za-z]:[/\\]|/){end}+", 0)
+    bare = F.regexp_replace(found, r"[/\\.,;:?!]+$", "")
+    return F.nullif(F.when(bare.startswith("~"), F.concat(F.lit(home), F.substr(bare, F.lit(2)))).otherwise(bare), F.lit(""))
+
+
+def below_prefix(prefixes: DataFrame, docs: DataFrame) -> DataFrame:
+    """prefix and the columns of ``docs`` (path, and more) whose path begins with it. A document stands under each of
+    its beginnings that is as long as some prefix, so equal keys meet, not ranges."""
+    asked = prefixes.select("prefix").where("prefix is not null").distinct()
+    sizes = asked.select(F.length("prefix").alias("_n")).distinct()
+    rows = docs.join(F.broadcast(sizes), F.length("path") >= F.col("_n")).withColumn("prefix", F.left("path", F.col("_n")))
+    return rows.drop("_n").join(asked, "prefix")
+
+
+def counts_below(prefixes: DataFrame, docs: DataFrame) -> DataFrame:
+    """prefix, n: documents below each prefix, 0 too."""
+    asked = prefixes.select("prefix").where("prefix is not null").distinct()
+    n = below_prefix(asked, docs.select("path")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(n, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def lists_below(prefixes: DataFrame, docs: DataFrame, most: int = 20) -> DataFrame:
+    """prefix, place, title, path: the first ``most`` documents (path, title) below each prefix, by path."""
+    order = W.partitionBy("prefix").orderBy("path")
+    rows = below_prefix(prefixes, docs.select("path", "title")).withColumn("place", F.row_number().over(order))
+    return rows.where(F.col("place") <= most).select("prefix", "place", "title", "path")
+
+
+#: Words that ask for names rather than for a number.
+LISTING = ("list", "liste", "which files", "which documents", "show me", "quels fichiers", "quels documents", "montre moi", "donne moi")
+
+
+def factual_answers(prompts: DataFrame, docs: DataFrame, most: int = 20) -> DataFrame:
+    """prompt_id, answer of prompts (prompt_id, prompt): a list or a count of the documents (path, title) below the
+    path that the prompt names; null if it names none."""
+    words = F.concat(F.lit(" "), F.array_join(terms(F.col("prompt")), " "), F.lit(" "))
+    wants = F.lit(False)
+    for x in LISTING:
+        wants |= words.contains(f" {x} ")
+    asked = prompts.select("prompt_id", prompt_path(F.col("prompt")).alias("prefix"), wants.alias("wants"))
+    shown = F.struct("place", F.concat(F.lit("- "), "title", F.lit(" ("), "path", F.lit(")")).alias("line"))
+    lists = lists_below(asked.where("wants"), docs, most).groupBy("prefix").agg(F.sort_array(F.collect_list(shown)).alias("shown"))
+    rows = asked.join(counts_below(asked, docs), "prefix", "left").join(lists, "prefix", "left")
+    where = F.concat(F.lit(" under "), "prefix")
+    lines = F.array_join(F.transform("shown", lambda x: x["line"]), "\n")
+    answer = (
+        F.when(F.col("prefix").isNull(), None).when(F.col("n") == 0, F.concat(F.lit("no documents"), where))
+        .when(F.col("wants"), F.concat(F.least(F.col("n"), F.lit(most)).cast("string"), F.lit(" listed"), where, F.lit("\n"), lines))
+        .otherwise(F.concat(F.col("n").cast("string"), F.lit(" documents"), where))
+    )
+    return rows.select("prompt_id", answer.alias("answer"))
+
+
+def document_name(prompt: Column) -> Column:
+    """The document that a prompt is about: what stands in quotation marks, else a file name, else what follows a
+    wish for a summary; null if none."""
+    quoted = F.regexp_extract(prompt, '["«“‘]([^"»”’]+)', 1)
+    named = F.regexp_extract(prompt, r"(?iU)[\w -]*\w\.(?:pdf|docx?|txt|md|epub|odt|rtf)\b", 0)
+    after = F.regexp_extract(prompt, r"(?iU)\b(?:summari[sz]e|résume[ -]moi|résumé de|synthèse de|synthétise)\s+(.+?)\s*(?:\?|$)", 1)
+    some = lambda c: F.nullif(strip(c), F.lit(""))
+    return F.coalesce(some(quoted), some(named), some(after))
+
+
+def resolve_documents(named: DataFrame, ranked: DataFrame, docs: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, id: of the first ``most`` hits of a name (query_id, name) the first whose title or path holds it in
+    any case, else the first. ``ranked``: query_id, id, rank; ``docs``: id, title, path."""
+    rows = ranked.where(F.col("rank") <= most).join(named, "query_id").join(docs.select("id", "title", "path"), "id")
+    held = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lower("name"))
+    miss = F.when(held("title") | held("path"), 0).otherwise(1)
+    return rows.groupBy("query_id").agg(F.min_by("id", F.struct(miss.alias("miss"), "rank")).alias("id"))
+
+
+def citations(context: DataFrame) -> DataFrame:
+    """query_id, sources: id, title, path and score of a query's context in order, a line each."""
+    line = F.struct("rank", F.concat_ws(" | ", F.col("id").cast("string"), "title", "path", F.format_number("score", 4)).alias("line"))
+    rows = context.groupBy("query_id").agg(F.sort_array(F.collect_list(line)).alias("x"))
+    return rows.select("query_id", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("sources"))
+
+
+def summaries(chunks: DataFrame, write: Callable[[Column], Column], size: int = 5, most: int = 100) -> DataFrame:
+    """doc_id, parts, summary: at most ``most`` even chunks of a document, ``write`` applied to each group of ``size``
+    of them and then to the joined partial summaries. A part that ``write`` gives null for leaves a mark."""
+    order = W.partitionBy("doc_id").orderBy("chunk_index")
+    rows = even_sample(chunks, most).withColumn("chunk_index", F.row_number().over(order) - 1)
+    parts = grouped_parts(rows, size)
+    mark = F.concat(F.lit("[part "), (F.col("part") + 1).cast("string"), F.lit(" failed]"))
+    parts = parts.select("doc_id", "part", F.coalesce(write(F.col("text")), mark).alias("text"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
+    whole = parts.groupBy("doc_id").agg(F.count("part").alias("parts"), F.array_join(texts, "\n\n").alias("text"))
+    return whole.select("doc_id", "parts", F.when(F.col("parts") == 1, F.col("text")).otherwise(F.coalesce(write(F.col("text")), F.col("text"))).alias("summary"))
+
+
+def timed_sessions(chats: DataFrame) -> DataFrame:
+    """conv_id, messages, seconds: of conversations whose turns have a time (ts)."""
+    seconds = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    return chats.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.round(seconds / 1e6, 3).alias("seconds"))
+
+
+def resolve_suffixes(requests: DataFrame, bases: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """name, real, enabled, categories, routed: a name that ends with ``-suffix`` (suffix, enabled, categories) after a
+    known base (base, real) is routed, by the first suffix in their order (place); others stand for themselves, enabled,
+    for all categories. Beginnings and ends of a name meet the two configuration tables by equal keys."""
+    cut = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr("name", i, F.lit(1)) == "-")
+    ways = requests.select("name").distinct().select("name", F.explode(cut).alias("i"))
+    ways = ways.select("name", F.left("name", F.col("i") - 1).alias("base"), F.substr("name", F.col("i") + 1).alias("suffix"))
+    found = ways.join(bases, "base").join(suffixes, "suffix")
+    best = found.groupBy("name").agg(F.min_by(F.struct("real", "enabled", "categories"), "place").alias("way"))
+    rows = requests.join(best, "name", "left")
+    return rows.select(
+        *requests.columns, F.coalesce("way.real", "name").alias("real"), F.coalesce("way.enabled", F.lit(True)).alias("enabled"),
+        F.col("way.categories").alias("categories"), F.col("way").isNotNull().alias("routed"),
+    )

@@ -174,3 +174,26 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, stop_words: tuple[st
     joined = every.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("x"), (F.max("pos") > 0).alias("expanded"))
     joined = joined.select("query_id", F.array_join(F.transform("x", lambda y: y["term"]), " ").alias("terms"), "expanded")
     return rows.join(joined, "query_id", "left").select("query_id", F.coalesce("terms", "q").alias("terms"), F.coalesce("expanded", F.lit(False)).alias("expanded"))
+
+
+def should_expand(query: Column, always: tuple[str, ...], most: int = 4) -> Column:
+    """Whether a query is short (at most ``most`` words) or has a word that is always expanded."""
+    words = F.filter(F.split(normalise_query(query), " "), lambda x: x != "")
+    return (F.size(words) <= most) | F.arrays_overlap(words, F.array(*map(F.lit, always)))
+
+
+def query_variants(queries: DataFrame, synonyms: DataFrame, stop_words: tuple[str, ...], always: tuple[str, ...]) -> DataFrame:
+    """query_id, variant (0: the query as it is), text: each query, and its expansion where it should be expanded
+    and differs."""
+    rows = queries.select("query_id", "query", should_expand(F.col("query"), always).alias("yes"))
+    more = rows.where("yes").join(expand_queries(queries, synonyms, stop_words), "query_id").where(F.col("expanded") & (F.col("terms") != F.col("query")))
+    first = rows.select("query_id", F.lit(0).alias("variant"), F.col("query").alias("text"))
+    return first.union(more.select("query_id", F.lit(1), "terms"))
+
+
+def by_mode(mode: str, semantic, fulltext, weights: dict[str, tuple[float, float]]) -> DataFrame:
+    """``fuse_ranks`` of the legs (functions without arguments) that the mode needs; the other is not planned."""
+    w = weights[mode]
+    legs = [leg() if x > 0 else None for leg, x in zip((semantic, fulltext), w)]
+    some = next(x for x in legs if x is not None).select("query_id", "id", "rank")
+    return fuse_ranks(*(some.limit(0) if x is None else x for x in legs), weights=w)

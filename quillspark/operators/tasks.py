@@ -85,3 +85,56 @@ def triage(failed: DataFrame, most: int = 8) -> DataFrame:
     n = rows.groupBy("kind", "extension").agg(F.count(F.lit(1)).alias("n"))
     top = n.where("kind = 'format'").orderBy(F.desc("n"), "extension").limit(most)
     return top.union(n.where("kind = 'content'"))
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """task, status, started_at, completed_at, error, retry_count from a log of (task, seq, ts, status, error): the
+    last status, the last start, the end of a task that is over, the error of a failed one. Only failures that say
+    what went wrong count as retries."""
+    at = F.struct("ts", "seq")
+    over = F.col("status").isin("completed", "failed", "cancelled")
+    rows = events.groupBy("task").agg(
+        F.max_by(F.struct("status", "ts", "error"), at).alias("last"), F.max(F.when(F.col("status") == "processing", F.col("ts"))).alias("started_at"),
+        F.count_if((F.col("status") == "failed") & (F.coalesce("error", F.lit("")) != "")).alias("retry_count"),
+    )
+    rows = rows.select("task", "last.*", "started_at", "retry_count")
+    return rows.select(
+        "task", "status", "started_at", F.when(over, F.col("ts")).alias("completed_at"), F.when(F.col("status") == "failed", F.col("error")).alias("error"), "retry_count"
+    )
+
+
+def stats_by(tasks: DataFrame) -> DataFrame:
+    """kind, value, n: tasks by status and by type, and pending ones by priority, in one pass."""
+    pending = F.when(F.col("status") == "pending", F.col("priority"))
+    rows = tasks.select("status", "task_type", pending.alias("priority"))
+    cells = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in rows.columns))).alias("x"))
+    return cells.select("x.kind", "x.value").where("value is not null").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def newest(tasks: DataFrame, status: str, limit: int) -> DataFrame:
+    return tasks.where(F.col("status") == status).orderBy(F.desc("added_at"), "id").limit(limit)
+
+
+def without_completed(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tasks that are not completed, and how many were dropped."""
+    done = F.col("status").eqNullSafe("completed")
+    return tasks.where(~done), tasks.agg(F.count_if(done).alias("removed"))
+
+
+def failure_reasons(failures: DataFrame) -> DataFrame:
+    """reason, n, retryable: failed files (error, retry_count) by what went wrong; ``unknown`` if it is not said."""
+    reason = F.coalesce(F.nullif(F.trim("error"), F.lit("")), F.lit("unknown"))
+    return failures.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("retry_count") < 3).alias("retryable"))
+
+
+def worker_counters(events: DataFrame) -> DataFrame:
+    """worker, processed, failed, consecutive_errors (failures since the last success), longest: from a log of
+    (worker, seq, ts, status)."""
+    at = F.struct("ts", "seq")
+    good, bad = F.col("status") == "completed", F.col("status") == "failed"
+    last = events.where(good).groupBy("worker").agg(F.max(at).alias("last"))
+    rows = events.where(good | bad).join(last, "worker", "left")
+    counted = rows.groupBy("worker").agg(
+        F.count_if(good).alias("processed"), F.count_if(bad).alias("failed"), F.count_if(bad & (F.col("last").isNull() | (at > F.col("last")))).alias("consecutive_errors")
+    )
+    return counted.join(error_runs(events.withColumnRenamed("worker", "task"), "failed").withColumnRenamed("task", "worker"), "worker")

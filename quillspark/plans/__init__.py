@@ -1 +1,3 @@
-"""See the modules."""
+"""Queries over the given tables."""
+
+from . import answers, catalogue, corpus  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,40 @@ def diff(old: DataFrame, new: DataFrame, by_hash: bool = False) -> DataFrame:
         differs = differs & ~F.col("o.sha256").eqNullSafe(F.col("n.sha256"))
     change = F.when(F.col("o.path").isNull(), "new").when(F.col("n.path").isNull(), "deleted").when(differs, "modified").otherwise("unchanged")
     return o.join(n, F.col("o.path") == F.col("n.path"), "full_outer").select(F.coalesce("o.path", "n.path").alias("path"), change.alias("change"))
+
+
+def save_state(snapshot: DataFrame, folder: str, version: int) -> None:
+    """Writes a snapshot as a version of its own; it counts once it is whole, and earlier ones stay readable."""
+    snapshot.write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def load_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest version of a saved snapshot; no rows where none is saved yet."""
+    try:
+        rows = spark.read.schema(f"{schema}, version int").parquet(folder)
+    except AnalysisException:  # there is no such folder
+        return spark.createDataFrame([], schema)
+    return rows.where(F.col("version") == rows.agg(F.max("version")).scalar()).drop("version")
+
+
+def clear_state(spark: SparkSession, folder: str, schema: str, version: int) -> None:
+    """An empty version on top: the next difference takes every file for new."""
+    save_state(spark.createDataFrame([], schema), folder, version)
+
+
+def ingest_outcome(checked: DataFrame, most: int = 10) -> DataFrame:
+    """success, queued, skipped, errors of one batch of requests (id, path, error; null: queued); of the errors
+    the first ``most`` by id, joined by lines."""
+    bad = F.col("error").isNotNull()
+    counts = checked.agg(F.count_if(~bad).alias("queued"), F.count_if(bad).alias("skipped"))
+    first = checked.where(bad).orderBy("id").limit(most).select("id", F.concat_ws(": ", "error", "path").alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
+    errors = first.agg(F.array_join(lines, "\n").alias("errors"))  # one row, as are the counts
+    return counts.crossJoin(errors).select((F.col("skipped") == 0).alias("success"), "queued", "skipped", "errors")
+
+
+def request_error(path: Column, exists: Column, is_file: Column, readable: Column) -> Column:
+    """What keeps a path from being queued, the first fault; null: nothing."""
+    return (
+        F.when(~path.startswith("/"), "not absolute").when(~exists, "missing").when(~is_file, "not a file").when(~readable, "not readable")
+    )

@@ -58,3 +58,21 @@ def task_states(events: DataFrame, stuck_after_ms: int = 600_000) -> DataFrame:
     return events.groupBy("task").applyInPandasWithState(
         step, "task long, status string, failures long", "seq long, status string, failures long", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+def summary_stream(parts: DataFrame, out: str, checkpoint: str):
+    """Upserts doc_id, part, text of a stream of partial summaries (doc_id, part, text) as they come: each batch is
+    a folder of its own under ``out``, so a batch that runs again replaces itself. ``read_summaries`` joins them."""
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{out}/run={n}")
+
+    return parts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_summaries(spark: SparkSession, out: str) -> DataFrame:
+    """doc_id, parts, text: what is there of each summary, its parts in order; of a part's versions the newest."""
+    rows = spark.read.schema("doc_id long, part int, text string, batch long").parquet(out)
+    last = rows.groupBy("doc_id", "part").agg(F.max_by("text", "batch").alias("text"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
+    return last.groupBy("doc_id").agg(F.count("part").alias("parts"), F.array_join(texts, "\n\n").alias("text"))
