@@ -429,7 +429,12 @@ def f3_keyword_ranking_whole(spark, sf):
 
 @query("")
 def h5_hybrid_search_whole(spark, sf):
-    return search.page(search.fuse_ranks(_semantic(spark, sf, every=True), _fulltext(spark, sf, every=True)), 0, 10)
+    """Items through both legs, and vectors of ids divisible by 50, which have no text, through the vector leg alone;
+    ``asked`` keeps them apart, as their ids have nothing to do with one another."""
+    items = search.page(search.fuse_ranks(_semantic(spark, sf, every=True), _fulltext(spark, sf, every=True)), 0, 10)
+    near = search.knn(*_vectors(spark, sf), 20).select("query_id", "id", "rank")
+    given = search.page(search.fuse_ranks(near, near.limit(0)), 0, 10)
+    return items.withColumn("asked", F.lit("text")).unionByName(given.withColumn("asked", F.lit("vector")))
 
 
 @query("")
