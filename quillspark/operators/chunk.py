@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_text, tokens_estimate
+from .tables import let
 
 
 @dataclass(frozen=True)
@@ -22,24 +23,49 @@ class Sizes:
     most: int = 3072
 
 
+def window_count(length: Column, s: Sizes) -> Column:
+    """How many fixed windows a text of a length has; a short last window joins the one before it."""
+    step = s.size - s.overlap
+    n = F.when(length <= s.size, 1).otherwise(F.ceil((length - s.size) / step) + 1)
+    return let(n.cast("int"), lambda n: F.when((n > 1) & (length - (n - 1) * step < s.least), n - 1).otherwise(n))
+
+
 def fixed_offsets(length: Column, s: Sizes) -> Column:
-    """Array of (start, end, total) of fixed windows; a short last window joins the one before it."""
+    """Array of (start, end, total) of fixed windows."""
     step = s.size - s.overlap
-    n = F.when(length <= s.size, 1).otherwise(F.ceil((length - s.size) / step) + 1).cast("int")
-    n = F.when((n > 1) & (length - (n - 1) * step < s.least), n - 1).otherwise(n)
-    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * step)
-    last = (n - 1) * step
-    end = lambda x: F.when(x == last, length).otherwise(F.least(x + s.size, length)).cast("int")
-    return F.transform(at, lambda x: F.struct(x.cast("int").alias("start"), end(x).alias("end"), n.alias("total")))
+
+    def windows(x: Column) -> Column:
+        end = lambda i: F.when(i == x["n"] - 1, x["length"]).otherwise(F.least(i * step + s.size, x["length"]))
+        return F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.struct((i * step).alias("start"), end(i).alias("end"), x["n"].alias("total")))
+
+    return let(length, lambda n: let(F.struct(n.alias("length"), window_count(n, s).alias("n")), windows))
 
 
 def fixed_chunks(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
     """A row per chunk of ``docs`` (doc_id, content): chunk_id, doc_id, chunk_index, total_chunks, offset_start,
-    offset_end, content. Blank texts have no chunk. Contents are cut before the rows are multiplied, so no row
-    carries the whole text, and nothing is shuffled."""
-    rows = docs.select("doc_id", normalise_text(F.col("content")).alias("text")).where("text <> ''")
-    part = lambda x: F.struct(x["start"], x["end"], x["total"], F.substr("text", x["start"] + 1, x["end"] - x["start"]).alias("content"))
-    rows = rows.select("doc_id", F.posexplode(F.transform(fixed_offsets(F.length("text"), s), part)).alias("chunk_index", "c"))
+    offset_end, content. Blank texts have no chunk. A text is cut once into pieces of a step, of which each window
+    joins its own, so that the work grows with the length; no row carries the whole text, nothing is shuffled."""
+    step = s.size - s.overlap
+    cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def windows(x: Column) -> Column:
+        """Of a text's length, number of windows and pieces."""
+
+        def window(i: Column) -> Column:
+            last = i == x["n"] - 1
+            # the windows before the last take as many pieces as reach over their size, the last takes all
+            own = F.array_join(F.slice(x["pieces"], i + 1, F.when(last, F.size(x["pieces"])).otherwise(-(-s.size // step))), "")
+            end = F.when(last, x["length"]).otherwise(i * step + s.size)
+            content = F.when(last, own).otherwise(F.left(own, F.lit(s.size)))
+            return F.struct((i * step).cast("int").alias("start"), end.cast("int").alias("end"), x["n"].alias("total"), content.alias("content"))
+
+        return F.transform(F.sequence(F.lit(0), x["n"] - 1), window)
+
+    def chunks(text: Column) -> Column:
+        sized = let(F.length(text), lambda n: F.struct(n.alias("length"), window_count(n, s).alias("n"), cut(text).alias("pieces")))
+        return F.when(text != "", let(sized, windows))
+
+    rows = docs.select("doc_id", F.posexplode(let(normalise_text(F.col("content")), chunks)).alias("chunk_index", "c"))
     return rows.select(
         chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", F.col("c.total").alias("total_chunks"),
         F.col("c.start").alias("offset_start"), F.col("c.end").alias("offset_end"), "c.content",
@@ -97,11 +123,10 @@ def break_chunks(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
 
 def chunk_results(docs: DataFrame, s: Sizes = Sizes()) -> DataFrame:
     """doc_id, chunks, tokens, success, error: what chunking each of ``docs`` gives. A blank text is an error."""
-    text = normalise_text(F.col("content"))
-    blank = text == ""
-    n = F.when(blank, 0).otherwise(F.size(fixed_offsets(F.length(text), s)))
-    return docs.select(
-        "doc_id", n.cast("int").alias("chunks"), tokens_estimate(text, 3).alias("tokens"), (~blank).alias("success"),
+    rows = docs.select("doc_id", let(normalise_text(F.col("content")), lambda t: F.struct(F.length(t).alias("n"), tokens_estimate(t, 3).alias("tokens"))).alias("x"))
+    blank = F.col("x.n") == 0
+    return rows.select(
+        "doc_id", F.when(blank, 0).otherwise(window_count(F.col("x.n"), s)).cast("int").alias("chunks"), "x.tokens", (~blank).alias("success"),
         F.when(blank, "Empty document text").alias("error"),
     )
 
