@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import strip, terms, tokens_estimate, truncate_to_tokens
+from ..functions.text import CATEGORIES, extension, strip, terms, tokens_estimate, truncate_to_tokens
+from .tables import materialise
 
 
 def budget(entries: DataFrame, most: int, header: int) -> DataFrame:
@@ -156,48 +163,85 @@ def system_texts(profiles: DataFrame) -> DataFrame:
     return profiles.select("profile_id", F.concat_ws("\n\n", given("identity"), F.concat(F.lit("User: "), given("user")), listed).alias("context"))
 
 
+#: Signs that a word may end with and still be read whole: everything else but letters and digits is left out.
+_WORD_END = r"[^\p{L}\p{N}_]+$"
+
+
+def _words(prompt: Column, between: str = r"(?U)\s+") -> Column:
+    return F.filter(F.split(F.coalesce(prompt, F.lit("")), between), lambda w: w != "")
+
+
 def prompt_path(prompt: Column, home: str = "/home/user") -> Column:
-    """The first path that a prompt names, under ``~``, a drive or the root, without signs at its end; null if none."""
-    end = r"[^\s,;?!。]"
-    found = F.regexp_extract(prompt, rf"(?:~[/\\]|[A-Za-z]:[/\\]|/){end}+", 0)
-    bare = F.regexp_replace(found, r"[/\\.,;:?!]+$", "")
-    return F.nullif(F.when(bare.startswith("~"), F.concat(F.lit(home), F.substr(bare, F.lit(2)))).otherwise(bare), F.lit(""))
+    """The first path among the words of a prompt, null if none. A path starts at the root, at a home folder or at a
+    drive, maybe within a quotation or brackets, goes on for at least one character, and ends with a letter or digit."""
+    bare = lambda w: F.regexp_replace(F.regexp_replace(w, r"^[\p{Ps}\p{Pi}\"']+", ""), _WORD_END, "")
+    sign = lambda w, i: F.substring(w, i, 1).isin("/", "\\")
+
+    def is_path(w: Column) -> Column:
+        drive = F.lower(F.substring(w, 1, 1)).between("a", "z") & (F.substring(w, 2, 1) == ":") & sign(w, 3)
+        return w.startswith("/") | (w.startswith("~") & sign(w, 2)) | drive
+
+    words = F.transform(_words(prompt, r"(?U)[\s,;]+"), bare)
+    found = F.get(F.filter(words, is_path), F.lit(0))
+    return F.when(found.startswith("~"), F.concat(F.lit(home), F.substr(found, F.lit(2)))).otherwise(found)
 
 
-def below_prefix(prefixes: DataFrame, docs: DataFrame) -> DataFrame:
-    """prefix and the columns of ``docs`` (path, and more) whose path begins with it. A document stands under each of
-    its beginnings that is as long as some prefix, so equal keys meet, not ranges."""
+@dataclass
+class PathIndex:
+    """``paths``: place (from 0, in the order of path), path and other columns; ``bounds``: prefix, low, high: the places of
+    the paths that begin with the prefix are those from low to before high."""
+
+    paths: DataFrame
+    bounds: DataFrame
+
+
+def path_index(prefixes: DataFrame, docs: DataFrame) -> PathIndex:
+    """The index of ``docs`` (path, and more) for ``prefixes`` (prefix); null ones are left out.
+
+    What begins with a prefix stands together in the order of paths, so a prefix asks for two places in it: its own and
+    that of the prefix followed by the last of all characters. Both are sorted among the paths, by one range sort, whose
+    partitions count the paths that they hold: no path is repeated, and a prefix of all paths is two rows like any other."""
     asked = prefixes.select("prefix").where("prefix is not null").distinct()
-    sizes = asked.select(F.length("prefix").alias("_n")).distinct()
-    rows = docs.join(F.broadcast(sizes), F.length("path") >= F.col("_n")).withColumn("prefix", F.left("path", F.col("_n")))
-    return rows.drop("_n").join(asked, "prefix")
+    own = F.struct(*docs.columns).alias("doc")
+    rows = docs.where("path is not null").select(F.col("path").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("prefix"), own)
+    none = F.lit(None).cast(rows.schema["doc"].dataType).alias("doc")
+    low = asked.select(F.col("prefix").alias("key"), F.lit(0).alias("kind"), "prefix", none)
+    high = asked.select(F.concat("prefix", F.lit("\U0010ffff")).alias("key"), F.lit(2).alias("kind"), "prefix", none)
+    rows = rows.unionByName(low).unionByName(high)
+    rows = rows.repartitionByRange("key", "kind").sortWithinPartitions("key", "kind").withColumn("at", F.monotonically_increasing_id())
+    rows = materialise(docs.sparkSession, rows, "sorted-paths").withColumn("piece", F.shiftright("at", 33))
+    before = F.count_if(F.col("kind") == 1).over(W.partitionBy("piece").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    pieces = rows.groupBy("piece").agg(F.count_if(F.col("kind") == 1).alias("n"))  # a row for each partition of the sort
+    pieces = pieces.select("piece", F.coalesce(F.sum("n").over(W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = rows.withColumn("before", before).join(F.broadcast(pieces), "piece").withColumn("place", F.col("before") + F.col("base"))
+    placed = materialise(docs.sparkSession, placed.select("kind", "prefix", "place", "doc"), "placed-paths")
+    bounds = placed.where("kind <> 1").groupBy("prefix").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    return PathIndex(placed.where("kind = 1").select("place", "doc.*"), bounds)
 
 
 def counts_below(prefixes: DataFrame, docs: DataFrame) -> DataFrame:
-    """prefix, n: documents below each prefix, 0 too."""
-    asked = prefixes.select("prefix").where("prefix is not null").distinct()
-    n = below_prefix(asked, docs.select("path")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(n, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
+    """prefix, n: documents below each prefix, 0 too: the difference of two places."""
+    return path_index(prefixes, docs.select("path")).bounds.select("prefix", (F.col("high") - F.col("low")).alias("n"))
 
 
 def lists_below(prefixes: DataFrame, docs: DataFrame, most: int = 20) -> DataFrame:
-    """prefix, place, title, path: the first ``most`` documents (path, title) below each prefix, by path."""
-    order = W.partitionBy("prefix").orderBy("path")
-    rows = below_prefix(prefixes, docs.select("path", "title")).withColumn("place", F.row_number().over(order))
-    return rows.where(F.col("place") <= most).select("prefix", "place", "title", "path")
+    """prefix, place, title, path: the first ``most`` documents (path, title) below each prefix, by path: those of the
+    ``most`` places from its first."""
+    index = path_index(prefixes, docs.select("path", "title"))
+    last = F.least(F.col("high"), F.col("low") + most) - 1
+    asked = index.bounds.where("low < high").select("prefix", "low", F.explode(F.sequence("low", last)).alias("at"))
+    rows = asked.join(index.paths.withColumnRenamed("place", "at"), "at")
+    return rows.select("prefix", (F.col("at") - F.col("low") + 1).cast("int").alias("place"), "title", "path")
 
 
-#: Words that ask for names rather than for a number.
-LISTING = ("list", "liste", "which files", "which documents", "show me", "quels fichiers", "quels documents", "montre moi", "donne moi")
+#: Words that ask for names rather than for a number, unless a caller has others.
+LISTING = ("list", "liste", "show", "montre", "name", "nomme")
 
 
-def factual_answers(prompts: DataFrame, docs: DataFrame, most: int = 20) -> DataFrame:
+def factual_answers(prompts: DataFrame, docs: DataFrame, most: int = 20, listing: tuple[str, ...] = LISTING) -> DataFrame:
     """prompt_id, answer of prompts (prompt_id, prompt): a list or a count of the documents (path, title) below the
-    path that the prompt names; null if it names none."""
-    words = F.concat(F.lit(" "), F.array_join(terms(F.col("prompt")), " "), F.lit(" "))
-    wants = F.lit(False)
-    for x in LISTING:
-        wants |= words.contains(f" {x} ")
+    path that the prompt names; null if it names none. A prompt with a word of ``listing`` asks for a list."""
+    wants = F.arrays_overlap(terms(F.col("prompt")), F.array(*map(F.lit, listing)))
     asked = prompts.select("prompt_id", prompt_path(F.col("prompt")).alias("prefix"), wants.alias("wants"))
     shown = F.struct("place", F.concat(F.lit("- "), "title", F.lit(" ("), "path", F.lit(")")).alias("line"))
     lists = lists_below(asked.where("wants"), docs, most).groupBy("prefix").agg(F.sort_array(F.collect_list(shown)).alias("shown"))
@@ -212,14 +256,45 @@ def factual_answers(prompts: DataFrame, docs: DataFrame, most: int = 20) -> Data
     return rows.select("prompt_id", answer.alias("answer"))
 
 
-def document_name(prompt: Column) -> Column:
+#: Marks that a title may stand between.
+QUOTES = (('"', '"'), ("«", "»"), ("“", "”"))
+#: Extensions of documents, beginnings of words that ask for a summary, and words between these and a title.
+NAMED = CATEGORIES["document"] + CATEGORIES["presentation"] + CATEGORIES["text"] + (".epub",)
+WISHES = ("summar", "résum", "synthé")
+BETWEEN = ("of", "de", "du", "des", "me", "moi")
+
+
+def _quoted(prompt: Column) -> Column:
+    """What the first pair of quotation marks holds."""
+    some = [F.struct(F.instr(prompt, a).alias("at"), F.regexp_extract(prompt, f"{a}([^{b}]+){b}", 1).alias("text")) for a, b in QUOTES]
+    return F.array_min(F.filter(F.array(*some), lambda x: x["text"] != ""))["text"]
+
+
+def _file_name(words: Column, extensions: tuple[str, ...]) -> Column:
+    """The first word that ends like a file, and the words before it back to a sign other than a hyphen."""
+    bare = F.transform(words, lambda w: F.regexp_replace(w, _WORD_END, ""))
+    at = F.array_position(F.transform(bare, lambda w: extension(w).isin(*extensions)), True).cast("int")
+    stops = F.filter(F.sequence(F.lit(1), F.greatest(at - 1, F.lit(1))), lambda i: (i < at) & F.get(words, i - 1).rlike(r"[^\p{L}\p{N}_-]$"))
+    first = F.coalesce(F.array_max(stops), F.lit(0)) + 1
+    name = F.concat_ws(" ", F.slice(words, first, at - first), F.get(bare, at - 1))
+    return F.when(at > 0, F.regexp_replace(name, r"^[^\p{L}\p{N}_]+", ""))
+
+
+def _wished(words: Column, wishes: tuple[str, ...], between: tuple[str, ...]) -> Column:
+    """What follows the first word that asks for a summary."""
+    asks = lambda w: reduce(lambda a, b: a | b, (F.lower(w).startswith(x) for x in wishes))
+    at = F.array_position(F.transform(words, asks), True).cast("int")
+    rest = F.slice(words, at + 1, F.size(words))
+    rest = F.when(F.lower(F.get(rest, F.lit(0))).isin(*between), F.slice(rest, F.lit(2), F.size(words))).otherwise(rest)
+    return F.when(at > 0, F.regexp_replace(F.array_join(rest, " "), _WORD_END, ""))
+
+
+def document_name(prompt: Column, extensions: tuple[str, ...] = NAMED, wishes: tuple[str, ...] = WISHES, between: tuple[str, ...] = BETWEEN) -> Column:
     """The document that a prompt is about: what stands in quotation marks, else a file name, else what follows a
     wish for a summary; null if none."""
-    quoted = F.regexp_extract(prompt, '["«“‘]([^"»”’]+)', 1)
-    named = F.regexp_extract(prompt, r"(?iU)[\w -]*\w\.(?:pdf|docx?|txt|md|epub|odt|rtf)\b", 0)
-    after = F.regexp_extract(prompt, r"(?iU)\b(?:summari[sz]e|résume[ -]moi|résumé de|synthèse de|synthétise)\s+(.+?)\s*(?:\?|$)", 1)
     some = lambda c: F.nullif(strip(c), F.lit(""))
-    return F.coalesce(some(quoted), some(named), some(after))
+    words = _words(prompt)
+    return F.coalesce(some(_quoted(prompt)), some(_file_name(words, extensions)), some(_wished(words, wishes, between)))
 
 
 def resolve_documents(named: DataFrame, ranked: DataFrame, docs: DataFrame, most: int = 5) -> DataFrame:
@@ -251,6 +326,57 @@ def summaries(chunks: DataFrame, write: Callable[[Column], Column], size: int =
     return whole.select("doc_id", "parts", F.when(F.col("parts") == 1, F.col("text")).otherwise(F.coalesce(write(F.col("text")), F.col("text"))).alias("summary"))
 
 
+def sentences(text: str, least: int = 20) -> list[str]:
+    """A text's sentences; one of fewer than ``least`` characters goes with the next."""
+    out: list[str] = []
+    held = ""
+    for part in re.split(r"(?<=[.!?。！？])\s+|\n+", text):
+        held = f"{held} {part.strip()}".strip()
+        if len(held) >= least:
+            out.append(held)
+            held = ""
+    return out + [held] if held else out
+
+
+def centrality(bags: list[Counter], damping: float = 0.85, rounds: int = 50) -> np.ndarray:
+    """How central each bag of words is: the stationary shares of a walk over the graph of their cosines."""
+    names = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
+    x = np.zeros((len(bags), len(names)))
+    for i, b in enumerate(bags):
+        for w, n in b.items():
+            x[i, names[w]] = n
+    x *= np.log(1 + len(bags) / np.maximum((x > 0).sum(0), 1))
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    links = x @ x.T
+    np.fill_diagonal(links, 0)
+    total = links.sum(1, keepdims=True)
+    step = np.where(total > 0, links / np.maximum(total, 1e-12), 1 / len(bags))
+    p = np.full(len(bags), 1 / len(bags))
+    for _ in range(rounds):
+        p = (1 - damping) / len(bags) + damping * (p @ step)
+    return p
+
+
+def central_text(text: str | None, most: int = 3) -> str | None:
+    """The ``most`` most central sentences of a text in their order, the first of equals; null for a blank text."""
+    found = sentences(text or "")
+    if not found:
+        return None
+    rank = np.round(centrality([Counter(re.findall(r"[^\W_]+", s.lower())) for s in found]), 9)
+    best = sorted(sorted(range(len(found)), key=lambda i: (-rank[i], i))[:most])
+    return " ".join(found[i] for i in best)
+
+
+def central_sentences(most: int = 3) -> Callable[[Column], Column]:
+    """A writer of ``summaries`` that takes sentences out of the text: a part is a few chunks, and so is their graph."""
+
+    @F.pandas_udf("string")
+    def write(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: central_text(t, most))
+
+    return write
+
+
 def timed_sessions(chats: DataFrame) -> DataFrame:
     """conv_id, messages, seconds: of conversations whose turns have a time (ts)."""
     seconds = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))

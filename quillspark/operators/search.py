@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.text import terms
 from . import vectors
-from .tables import materialise, sized
+from .tables import let, materialise, shared_dir, sized
 from .vectors import MOST_QUERIES, knn  # noqa: F401
 
-#: Matched words of a block of query terms are broadcast up to so many rows, else joined by shuffle.
+#: Matched words of a block of query terms are broadcast up to so many rows, else joined by shuffle; so are variants.
 MOST_WORDS = 2_000_000
+MOST_VARIANTS = 500_000
 #: Words of a query that lie further apart than this, or do not meet in one attribute, count as this far.
 FARTHEST = 8
+#: Letters of a word's beginning whose deletions find it.
+BEGINNING = 8
+#: Folders of the written postings, by the hash of a term.
+BUCKETS = 64
 
 
 def query_blocks(queries: DataFrame) -> list[DataFrame]:
@@ -24,13 +32,58 @@ def query_blocks(queries: DataFrame) -> list[DataFrame]:
     return vectors.query_blocks(queries, MOST_QUERIES)
 
 
-def postings(docs: DataFrame, attributes: tuple[str, ...] = ("title", "content", "path")) -> DataFrame:
-    """id, attr (0 is the most important), pos, term."""
-    rows = None
-    for k, a in enumerate(attributes):
-        part = docs.select("id", F.lit(k).alias("attr"), F.posexplode(terms(F.col(a))).alias("pos", "term"))
-        rows = part if rows is None else rows.union(part)
-    return rows
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class Postings:
+    """The inverted index of ``docs`` (id and the ``attributes``, the most important first), written when first used."""
+
+    docs: DataFrame
+    attributes: tuple[str, ...]
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """bucket, term, id, attr (0 is the most important): a row per document and word of it, in folders by bucket.
+
+        The corpus is read and cut into words once. Rows lie in the order of terms, a word of most documents in many
+        files, so that a search reads the folders of the words it has matched."""
+        docs, spark = self.docs, self.docs.sparkSession
+        with_attr = lambda words, k: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(k).alias("attr")))
+        before, parts = F.array().cast("array<string>"), []
+        for k, a in enumerate(self.attributes):
+            own = terms(F.col(a))
+            parts.append(with_attr(F.array_except(own, before), k))
+            before = own if k == 0 else F.concat(before, own)
+        rows = docs.select("id", F.explode(F.concat(*parts)).alias("x")).select(bucket(F.col("x.term")).alias("bucket"), "x.term", "id", "x.attr")
+        path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+        rows = rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        rows.write.partitionBy("bucket").parquet(path)
+        return spark.read.schema(StructType([rows.schema[c] for c in ("term", "id", "attr", "bucket")])).parquet(path)
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """term, documents: the distinct words and how many documents have them."""
+        rows = self.entries.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+        return materialise(self.docs.sparkSession, rows, "vocabulary")
+
+    def of(self, words: DataFrame) -> DataFrame:
+        """The entries in the folders of ``words`` (term, a written table); there are ``BUCKETS`` folders at most."""
+        some = [r.bucket for r in words.select(bucket(F.col("term")).alias("bucket")).distinct().collect()]
+        return self.entries.where(F.col("bucket").isin(some) if len(some) < BUCKETS else F.lit(True)).select("term", "id", "attr")
+
+    def places(self, ids: DataFrame) -> DataFrame:
+        """id, attr, pos, term of the documents ``ids`` (id, a written table) alone."""
+        docs, rows = self.docs.join(sized(ids, MOST_WORDS), "id", "left_semi"), None
+        for k, a in enumerate(self.attributes):
+            part = docs.select("id", F.lit(k).alias("attr"), F.posexplode(terms(F.col(a))).alias("pos", "term"))
+            rows = part if rows is None else rows.union(part)
+        return rows
+
+
+def postings(docs: DataFrame, attributes: tuple[str, ...] = ("title", "content", "path")) -> Postings:
+    return Postings(docs, attributes)
 
 
 def typo_budget(term: Column) -> Column:
@@ -38,35 +91,61 @@ def typo_budget(term: Column) -> Column:
     return F.when(F.length(term) >= 8, 2).when(F.length(term) >= 4, 1).otherwise(0)
 
 
+def deletions(word: Column, most: Column | int) -> Column:
+    """Array of what a word's first ``BEGINNING`` letters become when up to ``most`` (2 at most) of them are left out.
+
+    Two words within n edits have a deletion of up to n letters in common: what their alignment keeps of the shorter
+    of two aligned beginnings is left of both."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.left(w, i - 1), F.substr(w, i + 1)))
+    some = lambda ws: F.flatten(F.transform(F.filter(ws, lambda w: w != ""), without))
+    none = F.array().cast("array<string>")
+    most = F.lit(most) if isinstance(most, int) else most
+    return let(F.left(word, F.lit(BEGINNING)), lambda w: let(
+        F.when(most >= 1, some(F.array(w))).otherwise(none),
+        lambda one: F.array_distinct(F.concat(F.array(w), one, F.when(most >= 2, some(F.array_distinct(one))).otherwise(none))),
+    ))
+
+
+def candidate_words(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """qterm, budget, term: pairs of a query term (qterm, budget, a written table) and a word that share a deletion and
+    whose lengths allow the edits; a superset of the pairs within the budget."""
+    variants = asked.select("qterm", "budget", F.explode(deletions(F.col("qterm"), F.col("budget"))).alias("key"))
+    variants = sized(materialise(asked.sparkSession, variants, "variants"), MOST_VARIANTS)
+    words = vocabulary.select("term", F.explode(deletions(F.col("term"), 2)).alias("key"))
+    near = F.abs(F.length("term") - F.length("qterm")) <= F.col("budget")
+    return words.join(variants, "key").where(near).select("qterm", "budget", "term").distinct()
+
+
 def matched_terms(query_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """query_id, qpos, term, edits: words of the vocabulary within a query term's budget. Edit distances are
-    computed on distinct words, once for each distinct query term; words and terms meet by equal lengths, each
-    term standing under every length that its budget allows."""
-    q = query_terms.select("qterm").distinct().withColumn("budget", typo_budget(F.col("qterm")))
-    n = F.length("qterm")
-    q = q.withColumn("length", F.explode(F.sequence(F.greatest(n - F.col("budget"), F.lit(1)), n + F.col("budget"))))
-    found = vocabulary.withColumn("length", F.length("term")).join(F.broadcast(q), "length")
-    found = found.withColumn("edits", F.levenshtein("term", "qterm", 2)).where("edits between 0 and budget")
-    return found.select("qterm", "term", "edits").join(F.broadcast(query_terms), "qterm").select("query_id", "qpos", "term", "edits")
+    """query_id, qpos, term, edits: words of the vocabulary (a written table) within a query term's budget.
+
+    Terms without a budget meet equal words. The others meet words by common deletions, equal keys of a few dozen a
+    word, and the edit distance is worked out for what met."""
+    asked = query_terms.select("qterm").distinct().withColumn("budget", typo_budget(F.col("qterm")))
+    asked = materialise(vocabulary.sparkSession, asked, "query-terms")
+    exact = vocabulary.join(sized(asked.where("budget = 0"), MOST_WORDS), F.col("term") == F.col("qterm")).select("qterm", "term", F.lit(0).alias("edits"))
+    found = candidate_words(asked.where("budget > 0"), vocabulary).withColumn("edits", F.levenshtein("term", "qterm", 2))
+    found = exact.union(found.where("edits between 0 and budget").select("qterm", "term", "edits"))
+    return query_terms.join(found, "qterm").select("query_id", "qpos", "term", "edits")
 
 
 def keyword_search(
-    queries: DataFrame, posted: DataFrame, k: int, proximity: bool = False, sort: DataFrame | None = None, descending: bool = False
+    queries: DataFrame, posted: Postings, k: int, proximity: bool = False, sort: DataFrame | None = None, descending: bool = False
 ) -> DataFrame:
     """query_id, id, words, typos, attribute, exact, rank (and ``proximity``).
 
     ``queries``: query_id, query. Ranking, in order: more query terms matched, fewer edits, with ``proximity``
     the nearness of neighbouring query terms, better attribute, the key of ``sort`` (id, key; nulls last), more
     exact terms, id. The query terms of a block meet the vocabulary first, and the few words found meet the
-    postings where these arise, so that hits are summed up before anything is shuffled.
+    written postings.
     """
     every = queries.select("query_id", F.posexplode(F.array_distinct(terms(F.col("query")))).alias("qpos", "qterm"))
-    vocabulary = posted.select("term").distinct()
-    spark = posted.sparkSession
+    spark = queries.sparkSession
 
     def search(q: DataFrame) -> DataFrame:
-        words = sized(materialise(spark, matched_terms(q, vocabulary), "matched-words"), MOST_WORDS)
-        best = posted.join(words, "term").groupBy("query_id", "id", "qpos").agg(F.min("edits").alias("edits"), F.min("attr").alias("attr"))
+        words = materialise(spark, matched_terms(q, posted.vocabulary), "matched-words")
+        hits = posted.of(words).join(sized(words, MOST_WORDS), "term")
+        best = hits.groupBy("query_id", "id", "qpos").agg(F.min("edits").alias("edits"), F.min("attr").alias("attr"))
         found = best.groupBy("query_id", "id").agg(
             F.count("qpos").alias("words"), F.sum("edits").alias("typos"), F.min("attr").alias("attribute"), F.count_if(F.col("edits") == 0).alias("exact")
         )
@@ -89,18 +168,20 @@ def keyword_search(
     return reduce(DataFrame.union, map(search, query_blocks(every)))
 
 
-def nearness(found: DataFrame, posted: DataFrame, words: DataFrame, query_terms: DataFrame) -> DataFrame:
+def nearness(found: DataFrame, posted: Postings, words: DataFrame, query_terms: DataFrame) -> DataFrame:
     """query_id, id, proximity: the sum, over neighbouring terms of the query, of the least distance at which both
-    stand in one attribute of the document. Of all occurrences of two terms in order, nearest ones are neighbours."""
+    stand in one attribute of the document. Of all occurrences of two terms in order, nearest ones are neighbours.
+    Only the documents of ``found`` are read for their words' places."""
     keys = ["query_id", "id"]
-    hits = posted.join(words, "term").join(found.select(*keys), keys, "left_semi")
+    ids = materialise(found.sparkSession, found.select("id").distinct(), "found-ids")
+    hits = posted.places(ids).join(sized(words, MOST_WORDS), "term").join(found.select(*keys), keys, "left_semi")
     hits = hits.select(*keys, "attr", "pos", "qpos", F.explode(F.array(F.col("qpos") - 1, F.col("qpos"))).alias("pair"))
     line = W.partitionBy(*keys, "attr", "pair").orderBy("pos", "qpos")
     gap = F.when(F.lag("qpos").over(line) != F.col("qpos"), F.greatest(F.lit(1), F.col("pos") - F.lag("pos").over(line)))
     least = hits.withColumn("gap", gap).groupBy(*keys, "pair").agg(F.min("gap").alias("gap"))
     saved = least.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), FARTHEST - F.coalesce("gap", F.lit(FARTHEST)))).alias("saved"))
     size = query_terms.groupBy("query_id").agg((F.max("qpos") * FARTHEST).alias("most"))
-    rows = found.select(*keys).join(F.broadcast(size), "query_id").join(saved, keys, "left")
+    rows = found.select(*keys).join(size, "query_id").join(saved, keys, "left")
     return rows.select(*keys, (F.col("most") - F.coalesce("saved", F.lit(0))).alias("proximity"))
 
 

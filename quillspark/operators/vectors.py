@@ -1,8 +1,10 @@
-"""Vectors: an embedding of tokens, exact nearest neighbours, and an inverted file of cells for more queries."""
+"""Vectors: an embedding of tokens, exact nearest neighbours, and an inverted file of product-quantised codes."""
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -12,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.text import document_score, terms
+from .tables import materialise, shared_dir, sized
 
 #: Rows of a query table that are broadcast at once; larger tables are searched block by block.
 MOST_QUERIES = 10_000
+#: Ids of candidates that are broadcast at once to the table of vectors; more are joined by shuffle.
+MOST_CANDIDATES = 1_000_000
 DIMENSIONS = 256
 
 
@@ -100,33 +106,34 @@ class Nearest:
         return ((q, *x) for q, x in enumerate(self.found) if x is not None)
 
 
-def _search(block: DataFrame, vectors: DataFrame, k: int, index: Cells | None = None, probes: int = 0) -> DataFrame:
-    """query_id, id, distance: each task's ``k`` nearest of each query of a block."""
-    spark = vectors.sparkSession
+def _asked(block: DataFrame, vectors: DataFrame) -> tuple[list, np.ndarray, list, str]:
+    """Ids and vectors of a block of queries, the Arrow types of query_id and id, and the schema of what is found."""
     got = block.select("query_id", "qvector").where("qvector is not null").toArrow().combine_chunks()
-    names, queries = got["query_id"].to_pylist(), matrix(got["qvector"].combine_chunks())
     kinds = [block.schema["query_id"].dataType, vectors.schema["id"].dataType]
     schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, distance double"
-    arrow = [to_arrow_type(t) for t in kinds]
-    shared = spark.sparkContext.broadcast((names, queries, index and index.nearest_cells(queries, probes)))
+    return got["query_id"].to_pylist(), matrix(got["qvector"].combine_chunks()), [to_arrow_type(t) for t in kinds], schema
+
+
+def _batches(best: Nearest, names: list, kinds: list) -> Iterator[pa.RecordBatch]:
+    for q, distance, near in best.rows():
+        columns = [pa.array([names[q]] * len(near), kinds[0]), pa.array(near.tolist(), kinds[1]), pa.array(distance)]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "distance"])
+
+
+def _search(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id, distance: each task's ``k`` nearest of each query of a block."""
+    names, queries, kinds, schema = _asked(block, vectors)
+    shared = vectors.sparkSession.sparkContext.broadcast((names, queries))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries, cells = shared.value
+        names, queries = shared.value
         best = Nearest(queries, k)
         for b in batches if len(names) else ():
             if b.num_rows:
-                ids, rows = b.column("id").to_numpy(zero_copy_only=False), matrix(b.column("vector"))
-                if cells is None:
-                    best.add(ids, rows)
-                    continue
-                own = b.column("cell").to_numpy(zero_copy_only=False)
-                for c in np.unique(own):
-                    best.add(ids[own == c], rows[own == c], np.flatnonzero((cells == c).any(1)))
-        for q, distance, near in best.rows():
-            columns = [pa.array([names[q]] * len(near), arrow[0]), pa.array(near.tolist(), arrow[1]), pa.array(distance)]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "distance"])
+                best.add(b.column("id").to_numpy(zero_copy_only=False), matrix(b.column("vector")))
+        yield from _batches(best, names, kinds)
 
-    return vectors.select("id", "vector", *(["cell"] if index else [])).where("vector is not null").mapInArrow(run, schema)
+    return vectors.select("id", "vector").where("vector is not null").mapInArrow(run, schema)
 
 
 def _ranked(parts: list[DataFrame], k: int, score, least: float | None) -> DataFrame:
@@ -146,6 +153,37 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, score=document_score, le
     return _ranked([_search(block, vectors, k) for block in query_blocks(queries)], k, score, least)
 
 
+def _nearest_rows(centres: np.ndarray, rows: np.ndarray, n: int = 1) -> np.ndarray:
+    """Places of the ``n`` centres nearest to each row, nearest first."""
+    far = (centres * centres).sum(1) - 2 * rows @ centres.T if len(rows) else np.zeros((0, len(centres)))
+    return np.argsort(far, axis=1, kind="stable")[:, :n] if n > 1 else far.argmin(1)[:, None]
+
+
+def _means(rows: np.ndarray, n: int, rounds: int, seed: int) -> np.ndarray:
+    """``n`` centres of ``rows`` by k-means, fewer if there are fewer rows."""
+    centres = rows[np.random.default_rng(seed).permutation(len(rows))[:n]].copy()
+    for _ in range(rounds):
+        own = _nearest_rows(centres, rows)[:, 0]
+        sums, sizes = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, rows)
+        centres[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
+    return centres
+
+
+@dataclass(frozen=True)
+class IndexSettings:
+    """``sample``: the index is fitted on at most so many vectors, those of the least hashes of their ids. ``most_cells``:
+    there are as many cells as the square root of the number of rows, up to this. ``parts``: a code has a byte for each
+    of so many equal parts of a vector. ``file_rows``: rows of a cell's file, so that a cell of any size has many files."""
+
+    sample: int = 20_000
+    most_cells: int = 4_096
+    parts: int = 16
+    rounds: int = 12
+    file_rows: int = 1_000_000
+    seed: int = 3
+
+
 @dataclass
 class Cells:
     """Centres of an inverted file."""
@@ -153,29 +191,23 @@ class Cells:
     centres: np.ndarray
 
     def nearest_cells(self, rows: np.ndarray, n: int) -> np.ndarray:
-        """Ids of the ``n`` cells whose centres are nearest to each row, nearest first."""
-        far = (self.centres * self.centres).sum(1) - 2 * rows @ self.centres.T if len(rows) else np.zeros((0, len(self.centres)))
-        return np.argsort(far, axis=1, kind="stable")[:, :n]
+        return _nearest_rows(self.centres, rows, n)
 
 
-def fit_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 12, seed: int = 3) -> Cells:
-    """Centres by k-means on at most ``sample`` vectors, those of the least hashes of their ids."""
+def _sampled(vectors: DataFrame, sample: int, seed: int) -> np.ndarray:
+    """At most ``sample`` of ``vectors`` (id, vector), those of the least hashes of their ids."""
     rows = vectors.where("vector is not null").orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(sample).select("vector")
-    x = matrix(rows.toArrow().combine_chunks()["vector"].combine_chunks())
-    if not len(x):
-        return Cells(np.zeros((1, 1)))
-    centres = x[np.random.default_rng(seed).permutation(len(x))[:cells]].copy()
-    for _ in range(rounds):
-        own = Cells(centres).nearest_cells(x, 1)[:, 0]
-        for c in range(len(centres)):
-            if (own == c).any():
-                centres[c] = x[own == c].mean(0)
-    return Cells(centres)
+    return matrix(rows.toArrow().combine_chunks()["vector"].combine_chunks())
+
+
+def fit_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 12, seed: int = 3) -> Cells:
+    """Centres by k-means on a bounded sample."""
+    x = _sampled(vectors, sample, seed)
+    return Cells(_means(x, cells, rounds, seed) if len(x) else np.zeros((1, 1)))
 
 
 def assign_cells(vectors: DataFrame, index: Cells) -> DataFrame:
-    """``vectors`` (id, vector, and more) with ``cell``, every row; written partitioned by it, a search reads only
-    the cells that its queries probe."""
+    """``vectors`` (id, vector, and more) with ``cell``, every row that has a vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("int")
@@ -186,8 +218,118 @@ def assign_cells(vectors: DataFrame, index: Cells) -> DataFrame:
     return vectors.where("vector is not null").withColumn("cell", cell("vector"))
 
 
-def approximate_knn(queries: DataFrame, indexed: DataFrame, index: Cells, k: int, probes: int, score=document_score) -> DataFrame:
-    """As ``knn``, over the ``probes`` cells nearest to each query; distances are exact, neighbours in other cells
-    are missed. ``indexed``: the result of ``assign_cells``. A cell may hold any share of the rows: tasks read
-    rows as they lie, and none needs a whole cell."""
-    return _ranked([_search(block, indexed, k, index, probes) for block in query_blocks(queries)], k, score, None)
+@dataclass
+class Quantiser(Cells):
+    """Cells, and the code books of what is left of a vector when its cell's centre is taken away: ``books[p]`` holds the
+    centres of part p."""
+
+    books: np.ndarray
+
+    def codes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell, and a byte for each part, of each row."""
+        cell = _nearest_rows(self.centres, rows)[:, 0]
+        rest = (rows - self.centres[cell]).reshape(len(rows), len(self.books), -1)
+        parts = [_nearest_rows(b, rest[:, p])[:, 0] for p, b in enumerate(self.books)]
+        return cell, np.stack(parts, 1).astype(np.uint8)
+
+    def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that a cell's codes stand for."""
+        return self.centres[cell] + np.concatenate([b[codes[:, p]] for p, b in enumerate(self.books)], axis=1)
+
+
+def fit_quantiser(vectors: DataFrame, s: IndexSettings = IndexSettings()) -> Quantiser:
+    """Centres and code books by k-means on a bounded sample of ``vectors`` (id, vector); null vectors don't count."""
+    n, x = vectors.where("vector is not null").count(), _sampled(vectors, s.sample, s.seed)
+    x = x if len(x) else np.zeros((1, s.parts))
+    parts = max(p for p in range(1, s.parts + 1) if x.shape[1] % p == 0)
+    centres = _means(x, min(s.most_cells, max(1, math.isqrt(n))), s.rounds, s.seed)
+    rest = (x - centres[_nearest_rows(centres, x)[:, 0]]).reshape(len(x), parts, -1)
+    return Quantiser(centres, np.stack([_means(rest[:, p], 256, s.rounds, s.seed + p) for p in range(parts)]))
+
+
+@dataclass
+class ApproximateIndex:
+    """``codes``: id, cell, code of every vector, written in a folder for each cell; ``vectors``: id, vector, as given."""
+
+    cells: Quantiser
+    codes: DataFrame
+    vectors: DataFrame
+
+
+def build_index(vectors: DataFrame, s: IndexSettings = IndexSettings()) -> ApproximateIndex:
+    """The index of all ``vectors`` (id, vector; a table). Null vectors are in no cell. A cell may hold any share of the
+    rows: its rows are written by as many tasks as they fill files."""
+    spark, cells = vectors.sparkSession, fit_quantiser(vectors, s)
+    shared = spark.sparkContext.broadcast(cells)
+    kind = vectors.schema["id"].dataType
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, codes = shared.value.codes(matrix(b.column("vector")))
+            columns = [b.column("id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "cell", "code"])
+
+    rows = vectors.select("id", "vector").where("vector is not null").mapInArrow(run, f"id {kind.simpleString()}, cell int, code binary")
+    rows = materialise(spark, rows, "vector-codes")
+    sizes = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.file_rows).cast("int").alias("_files")))  # a row per cell
+    dealt = rows.join(sizes, "cell").withColumn("_file", F.pmod(F.xxhash64("id"), F.col("_files")))
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    dealt.repartition("cell", "_file").select("id", "code", "cell").write.partitionBy("cell").parquet(path)
+    schema = StructType([rows.schema[c] for c in ("id", "code", "cell")])
+    return ApproximateIndex(cells, spark.read.schema(schema).parquet(path), vectors)
+
+
+def _candidates(block: DataFrame, index: ApproximateIndex, k: int, probes: int) -> DataFrame:
+    """query_id, id, distance (to what its code stands for): each task's ``k`` nearest codes of each query of a block, of
+    the cells that it probes. The folders of other cells are not read."""
+    names, queries, kinds, schema = _asked(block, index.vectors)
+    probed = _nearest_rows(index.cells.centres, queries, max(2, probes))[:, :probes]
+    shared = index.vectors.sparkSession.sparkContext.broadcast((names, queries, probed, index.cells))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries, probed, cells = shared.value
+        best = Nearest(queries, k)
+        for b in batches if len(names) else ():
+            ids, own = b.column("id").to_numpy(zero_copy_only=False), b.column("cell").to_numpy(zero_copy_only=False)
+            codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(own), -1)
+            for c in np.unique(own):
+                here = own == c
+                best.add(ids[here], cells.decode(c, codes[here]), np.flatnonzero((probed == c).any(1)))
+        yield from _batches(best, names, kinds)
+
+    some = [int(c) for c in np.unique(probed)]
+    rows = index.codes.where(F.col("cell").isin(some) if len(some) < len(index.cells.centres) else F.lit(True))
+    return rows.select("id", "code", "cell").mapInArrow(run, schema)
+
+
+def approximate_knn(
+    queries: DataFrame, index: ApproximateIndex, k: int, probes: float = 0.65, candidates: int = 10, score=document_score
+) -> DataFrame:
+    """As ``knn``, among the codes of the nearest cells of each query, a share ``probes`` of all cells. The vectors
+    themselves are read for the ``candidates`` times ``k`` nearest codes of a query alone; their distances are exact and
+    decide. Neighbours in other cells, or behind too many codes, are missed."""
+    spark, found = index.vectors.sparkSession, None
+    n = max(1, math.ceil(probes * len(index.cells.centres)))
+    for block in query_blocks(queries):
+        near = _ranked([_candidates(block, index, candidates * k, n)], candidates * k, score, None).select("query_id", "id")
+        near = materialise(spark, near, "near-codes")
+        ids = materialise(spark, near.select("id").distinct(), "near-ids")
+        rows = index.vectors.select("id", "vector").join(sized(ids, MOST_CANDIDATES), "id", "left_semi").join(near, "id")
+        exact = _exact_distances(block, rows)
+        found = exact if found is None else found.union(exact)
+    return _ranked([found], k, score, None)
+
+
+def _exact_distances(block: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id, id, distance of ``rows`` (query_id, id, vector)."""
+    names, queries, _, schema = _asked(block, rows)
+    shared = rows.sparkSession.sparkContext.broadcast(({q: i for i, q in enumerate(names)}, queries))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, queries = shared.value
+        for b in batches:
+            gap = matrix(b.column("vector")) - queries[[places[q] for q in b.column("query_id").to_pylist()]]
+            distance = np.round((gap * gap).sum(1), 9) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array(distance)], ["query_id", "id", "distance"])
+
+    return rows.select("query_id", "id", "vector").mapInArrow(run, schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk, index, rag, search, tasks, vectors
+from ..operators.tables import materialise
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,7 +138,8 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 def _semantic(spark: SparkSession, sf: str, k: int = 20, every: bool = False) -> DataFrame:
     q = _items(spark, sf, every).select("query_id", vectors.embed(F.col("query")).alias("qvector"))
-    return vectors.knn(q, _corpus(spark, sf).select("id", vectors.embed(F.col("content")).alias("vector")), k)
+    rows = _corpus(spark, sf).select("id", vectors.embed(F.col("content")).alias("vector"))
+    return vectors.knn(q, materialise(spark, rows, "embedded"), k)
 
 
 def _fulltext(spark: SparkSession, sf: str, k: int = 20, every: bool = False) -> DataFrame:
