@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,6 +89,34 @@ def json_texts(text: Column) -> Column:
     return parsed(text)
 
 
+_WALK = """
+WITH RECURSIVE walk (id, value, named) MAX RECURSION LEVEL {most} AS (
+  SELECT id, value, false FROM {rows}
+  UNION ALL
+  SELECT w.id, e.value, e.key IS NOT NULL FROM walk w, LATERAL variant_explode(w.value) e
+)
+SELECT id, named FROM walk LIMIT ALL
+"""
+
+
+def json_keys(texts: DataFrame, most: int = 200) -> DataFrame:
+    """id, keys, error of JSON texts (id, text; ids are distinct): how many keys they have at any depth down to ``most``,
+    null with an error for what is no JSON. A recursive query opens one level of all texts at a time.
+
+    The parser stops behind the first value, so a text has to be one value both within a list and within an object: what
+    follows a value can't go on both."""
+    spark, name = texts.sparkSession, f"_texts_{uuid.uuid4().hex}"
+    parsed = lambda a, b: F.try_parse_json(F.concat(F.lit(a), F.coalesce("text", F.lit("")), F.lit(b)))
+    rows = texts.select("id", F.when(parsed('{"_": ', "}").isNotNull(), parsed("[", "]")).alias("value"))
+    rows.createOrReplaceTempView(name)
+    walked = spark.sql(_WALK.format(rows=name, most=most))
+    spark.catalog.dropTempView(name)
+    counted = walked.groupBy("id").agg(F.count_if("named").cast("int").alias("n"))
+    bad = F.col("value").isNull()
+    rows = rows.select("id", bad.alias("bad")).join(counted, "id")
+    return rows.select("id", F.when(~F.col("bad"), F.col("n")).alias("keys"), F.when(F.col("bad"), "invalid JSON").alias("error"))
+
+
 def paragraphs(parts: DataFrame) -> DataFrame:
     """doc_id, body: the parts (doc_id, i, text) of a document in order, a line each, blank ones left out."""
     kept = parts.where(F.trim("text") != "")

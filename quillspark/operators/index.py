@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .tables import materialise
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str, blank: str | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of equal keys; of several new ones the last by
@@ -109,20 +111,37 @@ def cleared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.limit(0), rows.agg(F.count(F.lit(1)).alias("removed"))
 
 
+def grams(text: Column, n: int) -> Column:
+    """The distinct sequences of ``n`` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def paths_with(stems: DataFrame, paths: DataFrame) -> DataFrame:
+    """stem, path: the least of ``paths`` (path) that holds each of ``stems`` (stem, lower case) in any case.
+
+    Of a stem's sequences of three characters the one that the fewest paths have is its key: paths with it are looked at.
+    Only sequences of asked stems are indexed. A stem of one or two characters is a key itself."""
+    spark, size = stems.sparkSession, F.least(F.length("stem"), F.lit(3))
+    of = lambda text, n: F.when(n == 3, grams(text, 3)).when(n == 2, grams(text, 2)).otherwise(grams(text, 1))
+    asked = stems.where("stem <> ''").distinct().select("stem", F.explode(of(F.col("stem"), size)).alias("gram"))
+    asked = materialise(spark, asked, "asked-grams")
+    low, sizes = F.lower("path"), [r.n for r in asked.select(F.length("gram").alias("n")).distinct().collect()]  # three at most
+    cut = F.concat(F.array().cast("array<string>"), *(grams(low, n) for n in sizes))
+    rows = paths.select("path").distinct().select("path", F.explode(cut).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    rows = materialise(spark, rows, "path-grams")
+    held = asked.join(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    keys = held.groupBy("stem").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return keys.join(rows, "gram").where(F.contains(low, F.col("stem"))).groupBy("stem").agg(F.min("path").alias("path"))
+
+
 def find_paths(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """asked, path, match (exact, contains or null): the document of each asked path, else the first by path whose
     path holds the asked file's stem in any case."""
     ask = asked.select(F.col("path").alias("asked")).distinct()
     exact = ask.join(rows.select(F.col("path").alias("asked")).distinct().withColumn("path", F.col("asked")), "asked")
     rest = ask.join(exact.select("asked"), "asked", "left_anti")
-    stem = F.lower(F.regexp_replace(F.element_at(F.split("asked", "/"), -1), r"(?<=.)\.[^.]+$", ""))
-    rest = rest.withColumn("stem", stem)
-    # a stem of n characters is one of the n-grams of a path that holds it: equal keys, whatever the tables' sizes
-    sizes = rest.select(F.length("stem").alias("n")).where("n > 0").distinct()
-    paths = rows.select("path").distinct().join(F.broadcast(sizes), F.length("path") >= F.col("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("path") - F.col("n") + 1), lambda i: F.substr(F.lower("path"), i, F.col("n")))
-    held = paths.select("path", F.explode(F.array_distinct(grams)).alias("stem"))
-    near = rest.join(held, "stem").groupBy("asked").agg(F.min("path").alias("path"))
+    rest = rest.withColumn("stem", F.lower(F.regexp_replace(F.element_at(F.split("asked", "/"), -1), r"(?<=.)\.[^.]+$", "")))
+    near = rest.join(paths_with(rest.select("stem"), rows), "stem").select("asked", "path")
     found = exact.withColumn("match", F.lit("exact")).unionByName(near.withColumn("match", F.lit("contains")))
     return ask.join(found, "asked", "left")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .tables import materialise
+
 
 def priority_rank(priority: Column) -> Column:
     return F.when(priority == "high", 0).when(priority == "normal", 1).otherwise(2)
@@ -51,13 +53,35 @@ def stats(tasks: DataFrame) -> DataFrame:
 
 
 def error_runs(events: DataFrame, failed: str) -> DataFrame:
-    """task, longest: the longest run of failures without a break, by islands of equal outcome."""
-    by, order = W.partitionBy("task"), ["ts", "seq"]
-    bad = F.col("status") == failed
-    rows = events.withColumns({"_i": F.row_number().over(by.orderBy(*order)), "_bad": bad})
-    rows = rows.withColumn("_island", F.col("_i") - F.row_number().over(W.partitionBy("task", "_bad").orderBy(*order)))
-    runs = rows.groupBy("task", "_bad", "_island").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy("task").agg(F.max(F.when(F.col("_bad"), F.col("n")).otherwise(0)).alias("longest"))
+    """task, longest: the longest run of failures without a break in a log of (task, seq, ts, status).
+
+    A range sort cuts the log into pieces, and a task's rows of a piece are summed up by their length, the runs that they
+    begin and end with and their longest run. Two neighbouring sums make one, so a task of most rows is no task's sort."""
+    keys = ["task", "ts", "seq"]
+    rows = events.select(*keys, F.coalesce(F.col("status") == failed, F.lit(False)).alias("bad"))
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("task", "bad", F.monotonically_increasing_id().alias("at"))
+    rows = materialise(events.sparkSession, rows, "sorted-log").withColumn("piece", F.shiftright("at", 33))
+    island = F.col("at") - F.row_number().over(W.partitionBy("piece", "task", "bad").orderBy("at"))
+    runs = rows.withColumn("island", island).groupBy("piece", "task", "bad", "island").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    run = F.when(F.col("bad"), F.col("n")).otherwise(0)
+    pieces = runs.groupBy("piece", "task").agg(
+        F.sum("n").alias("length"), F.min_by(run, "at").alias("leading"), F.max_by(run, "at").alias("trailing"), F.max(run).alias("longest")
+    )
+
+    def joined(a: Column, b: Column) -> Column:
+        """The sum of a task's pieces so far and the next piece."""
+        across = a["trailing"] + b["leading"]
+        whole = lambda x: x["leading"] == x["length"]
+        return F.struct(
+            (a["length"] + b["length"]).alias("length"),
+            F.when(whole(a), a["length"] + b["leading"]).otherwise(a["leading"]).alias("leading"),
+            F.when(whole(b), a["trailing"] + b["length"]).otherwise(b["trailing"]).alias("trailing"),
+            F.greatest(a["longest"], b["longest"], across).alias("longest"),
+        )
+
+    none = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("length", "leading", "trailing", "longest")))
+    parts = F.sort_array(F.collect_list(F.struct("piece", "length", "leading", "trailing", "longest")))  # one for each piece at most
+    return pieces.groupBy("task").agg(parts.alias("x")).select("task", F.aggregate("x", none, joined)["longest"].alias("longest"))
 
 
 def failed_files(events: DataFrame) -> DataFrame:

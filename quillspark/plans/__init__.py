@@ -1,3 +1,3 @@
 """Queries over the given tables."""
 
-from . import answers, catalogue, corpus  # noqa: F401
+from . import answers, catalogue, corpus, streams  # noqa: F401

@@ -97,6 +97,14 @@ def x4_json(spark, sf):
     return e.select("event_id", extract.json_texts(F.col("raw")).alias("x")).select("event_id", "x.*")
 
 
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 3 ELSE 1 END AS keys, CASE WHEN event_id % 4 = 0 THEN 'invalid JSON' END AS error FROM events""")
+def x4_json_keys(spark, sf):
+    i, p = F.col("event_id") % 4, F.col("props")
+    raw = F.when(i == 0, F.concat(p, F.lit("]"))).when(i == 1, F.concat(F.lit('{"a": ['), p, F.lit('], "é": null}'))).otherwise(p)
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), raw.alias("text"))
+    return extract.json_keys(e).withColumnRenamed("id", "event_id")
+
+
 @query("""SELECT doc_id, CASE WHEN length(trim(coalesce(content, ''))) >= CASE WHEN ext = '.py' THEN 50 ELSE 20 END THEN coalesce(l, 'unknown') END AS language
 FROM docs LEFT JOIN (SELECT doc_id, arg_max(language, (n, language)) AS l FROM told GROUP BY 1) USING (doc_id)""", "docs", "profiles")
 def x6_language_floor(spark, sf):
