@@ -31,15 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near-duplicates.
-
-    Rows that repeat a doc_id and text are copies of one another: one stays. Of different texts of one doc_id
-    all stay if that doc_id does. A null doc_id can't be the least of a group, so its rows stay as they are;
-    null and empty texts have no shingle and are copies of nothing. Very long texts are read whole, an empty
-    table stays empty."""
-    found = cminhash.near_duplicates(spark, docs)
-    gone = sized(materialise(spark, found.where("not kept").select("doc_id").distinct(), "gone"), BROADCAST_ROWS)
-    docs = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One text of each group of near-duplicates, that of its least doc_id.
+
+    Rows go by doc_id and text, so a text that is like no other stays whatever becomes of other texts of its doc_id.
+    Of several texts of the least doc_id in one group one stays, of rows that repeat a doc_id and text too. Rows of a
+    null doc_id stay as they are; null and empty texts have no shingle and are copies of nothing. Very long texts are
+    read whole, an empty table stays empty."""
+    docs = docs.select(*COLUMNS)
+    gone = sized(materialise(spark, cminhash.removed_texts(spark, docs).withColumnRenamed("text_key", "_key"), "gone"), BROADCAST_ROWS)
+    docs = docs.withColumn("_key", F.xxhash64("text")).join(gone, ["doc_id", "_key"], "left_anti").select(*COLUMNS)
     # only rows of ids that repeat are shuffled
     again = materialise(spark, repeated(docs), "repeated")
     if again.isEmpty():

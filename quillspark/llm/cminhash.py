@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, repeated, sized
+from .common import materialise, repeated, sized, split_join
 from .shingles import Words, shingles
 
 
@@ -34,7 +34,8 @@ class Settings:
 
     32 bands of 4 find a pair of similarity 0.75 but for a chance of 5e-6. ``percent``: least similarity.
     ``crowd``: a band of more open pairs than so many a member is searched by rare shingles. ``slot_bits``: they
-    are ranked by counts of 2**slot_bits slots.
+    are ranked by counts of 2**slot_bits slots. Tables of at most ``broadcast_rows`` rows of ids, and of at most
+    ``broadcast_sets`` sets, are broadcast.
     """
 
     bands: int = 32
@@ -47,6 +48,7 @@ class Settings:
     slot_bits: int = 20
     seed: int = 5
     broadcast_rows: int = 500_000
+    broadcast_sets: int = 100
 
 
 class Circulant:
@@ -79,7 +81,8 @@ def _utf8(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, content (digest of the set, null for an empty one), bands: a row per document."""
+    """doc_id, text_key (hash of the text), n_shingles, content (digest of the set, null for an empty one), bands: a row
+    per document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, circulant = Words(), Circulant(s)
@@ -90,25 +93,27 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 sizes.append(len(found))
                 contents.append(xxhash.xxh3_128_digest(found) if len(found) else None)
                 bands.append(circulant.bands(circulant.signature(found)) if len(found) else [])
-            columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary())]
+            columns = [b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary())]
             columns.append(pa.array(bands, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "content", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "content", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, content binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, content binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles: the full set of each document."""
+    """doc_id, content (digest of the set), shingles: the full set of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            sets = [np.unique(shingles(words(t or b""))).view(np.int64) for t in _utf8(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            sets = [np.unique(shingles(words(t or b""))) for t in _utf8(b)]
+            digests = pa.array([xxhash.xxh3_128_digest(x) if len(x) else None for x in sets], pa.binary())
+            columns = [b.column("doc_id"), digests, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, shingles array<long>")
+    return rows.mapInArrow(run, "doc_id long, content binary, shingles array<long>")
 
 
 def slot_counts(sets: DataFrame, s: Settings) -> np.ndarray:
@@ -173,16 +178,18 @@ def components(spark: SparkSession, links: DataFrame, broadcast_rows: int) -> Da
     Alternating large-star and small-star steps until nothing changes; the number of steps grows with the
     logarithm of the input. While the links are few, the joins of a step are broadcasts."""
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    rows = links.count()
+    rows = e.count()
     before = None
     while True:
         small = rows <= broadcast_rows
-        sure = F.broadcast if small else (lambda df: df)
+        # the centre of a star has a link to each of its ids: it is hot
+        meet = (lambda a, b: a.join(F.broadcast(b), "u")) if small else (lambda a, b: split_join(spark, a, b, "u", "v", broadcast_rows))
+        kept = (lambda df, name: df) if small else (lambda df, name: materialise(spark, df, name))
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(sure(least), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(sure(least), "u")
+        least = kept(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = kept(meet(both, least).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-stars")
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        stars = meet(large, least)
         stars = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = materialise(spark, stars.where("u <> v").distinct(), "stars", small)
         now = e.agg(F.count("u"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -201,24 +208,40 @@ class _Search:
         self.spark, self.s = spark, s
         self.rows = materialise(spark, signatures(docs, s), "signatures")
         whole = self.rows.where("content is not null and doc_id is not null")
-        self.classes = materialise(
-            spark, whole.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes"
-        )
-        reps = whole.join(
-            self.classes.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi"
-        ).dropDuplicates(["doc_id", "content"])
-        members = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+        classes = whole.groupBy("content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        classes = materialise(spark, classes, "classes")
+        # a class goes by its least doc_id, or, where classes share that (texts of one doc_id), by a hash of its own
+        again = materialise(spark, repeated(classes.select(F.col("lo").alias("doc_id"))), "shared-ids")
+        self.several = not again.isEmpty()
+        self.classes = classes.withColumn("rep", F.col("lo"))
+        if self.several:
+            again = sized(again, s.broadcast_rows)
+            known = classes.join(again.select(F.col("doc_id").alias("lo"), F.lit(True).alias("_again")), "lo", "left")
+            rep = F.when(F.col("_again"), F.xxhash64("content", F.lit(s.seed))).otherwise(F.col("lo"))
+            self.classes = materialise(spark, known.select("content", "lo", "hi", rep.alias("rep")), "named-classes")
+        reps = whole.join(self.classes.select("content", F.col("lo").alias("doc_id"), "rep"), ["content", "doc_id"]).dropDuplicates(["rep"])
+        members = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
         shared = members.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("rep").alias("k")).where("lo < hi")
         self.members = materialise(spark, self.meet(members, shared.select("band", "k"), "shared").drop("k"), "members")
         ids = self.members.select(F.col("rep").alias("doc_id")).distinct()
         ids = sized(materialise(spark, ids, "candidates"), s.broadcast_rows)
+        if self.several:
+            # texts of doc_ids that classes share find their class by content, the others need no shuffle of their sets
+            texts = docs.join(again, "doc_id", "left_semi")
+            named = self.classes.where("rep <> lo").select("content", F.col("rep").alias("doc_id"))
+            more = shingle_sets(texts).drop("doc_id").join(named, "content").join(ids, "doc_id", "left_semi")
+            docs = docs.join(again, "doc_id", "left_anti")
         sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"))
-        # rows that repeat a doc_id are met once; the others need no shuffle of their sets
-        again = materialise(spark, repeated(self.rows).join(ids, "doc_id", "left_semi"), "repeated")
-        if not again.isEmpty():
-            again = sized(again, s.broadcast_rows)
-            once = sets.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
-            sets = sets.join(again, "doc_id", "left_anti").union(once)
+        # so do rows of other doc_ids with several texts: the class of a doc_id is that of the text which it begins
+        double = materialise(spark, repeated(self.rows).join(ids, "doc_id", "left_semi"), "repeated")
+        if not double.isEmpty():
+            double = sized(double, s.broadcast_rows)
+            own = self.classes.where("rep = lo").select("content", F.col("rep").alias("doc_id"))
+            once = sets.join(double, "doc_id", "left_semi").join(own, ["content", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+            sets = sets.join(double, "doc_id", "left_anti").unionByName(once)
+        sets = sets.select("doc_id", "shingles")
+        if self.several:
+            sets = sets.unionByName(more.dropDuplicates(["doc_id"]).select("doc_id", "shingles"))
         self.sets = materialise(spark, sets, "sets")
         self.tested: DataFrame | None = None
         self.stars: DataFrame | None = None
@@ -240,10 +263,14 @@ class _Search:
         """Adds the pairs (a, b) whose full sets are similar enough to the links."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = self.sets.join(sized(materialise(self.spark, ids, "pair-ids"), self.s.broadcast_rows), "doc_id", "left_semi")
+        sets = materialise(self.spark, sets, "pair-sets")
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        found = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", both)
+        # a leader stands in all pairs of its crowd
+        named, most = pairs.select("a", "b"), self.s.broadcast_sets
+        found = split_join(self.spark, named, left, "a", "b", most)
+        found = split_join(self.spark, found, right, "b", "a", most, counted=named).withColumn("both", both)
         found = found.where(100 * F.col("both") >= self.s.percent * (F.size("x") + F.size("y") - F.col("both")))
         found = materialise(self.spark, found.select("a", "b"), "verified")
         # links already joined to stars say the same as before
@@ -302,7 +329,8 @@ class _Search:
         # of a shingle's rows, those of its largest component meet only the others
         groups = rows.groupBy("shingle", "component").agg(F.count("n").alias("k"))
         groups = groups.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("k").alias("parts"))
-        rows = rows.join(groups.where("parts > 1").drop("parts"), "shingle").withColumn("most", F.col("component") == F.col("major"))
+        groups = materialise(self.spark, groups.where("parts > 1").drop("parts"), "shared-shingles")
+        rows = split_join(self.spark, rows, groups, "shingle", "doc_id", s.broadcast_rows).withColumn("most", F.col("component") == F.col("major"))
         rows = materialise(self.spark, rows.drop("major"), "shared-rows")
         a = rows.where("not most").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "component")))
         b = rows.select("shingle", "most", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "place", "component")))
@@ -310,7 +338,7 @@ class _Search:
         right = (F.col("component_a") != F.col("component_b")) & (F.col("most") | (F.col("doc_id_a") < F.col("doc_id_b")))
         right &= _long_enough(F.col("n_a"), F.col("n_b"), s.percent)
         right &= (F.col("place_a") <= F.col("n_a") - least + 1) & (F.col("place_b") <= F.col("n_b") - least + 1)
-        found = a.join(b, "shingle").where(right)
+        found = split_join(self.spark, a, b, "shingle", "doc_id_a", s.broadcast_sets).where(right)
         return found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
 
     def untested(self, pairs: DataFrame) -> DataFrame:
@@ -359,13 +387,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings
     are linked. Repeated rows give repeated, equal rows; if rows of a doc_id have several texts, equal texts
     are linked for each, similar ones for the least of them. Texts of any length are read whole; an empty table gives no row. Only doc_id and text are read.
     """
+    rows = judged_rows(spark, docs, s)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def judged_rows(spark: SparkSession, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), n_shingles, content, component_id: as ``near_duplicates``; ``linked``: the
+    same for rows whose texts are linked, null for a class that is linked with no other."""
     search = _Search(spark, docs, s)
-    found = sized(search.run(), s.broadcast_rows)
-    classes = search.classes.join(found, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
+    classes = search.classes.join(sized(search.run(), s.broadcast_rows), "rep", "left")
+    classes = classes.withColumns({"linked": F.coalesce("component", "rep"), "least": F.coalesce("component", "lo")})
+    if search.several:
+        # a component goes by a rep, which may be a hash: its least doc_id is looked up
+        classes = materialise(spark, classes.drop("least"), "linked-classes")
+        least = materialise(spark, classes.groupBy("linked").agg(F.min("lo").alias("least")), "least-ids")
+        classes = split_join(spark, classes, least, "linked", "rep", s.broadcast_rows)
     # only classes of several documents, or linked ones, say something that a row does not know itself
-    told = search.rows.groupBy("content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("content is not null")
-    told = told.join(classes, "content").where("lo < hi or component_id <> lo").select("content", "component_id")
-    told = sized(materialise(spark, told, "told"), s.broadcast_rows)
-    rows = search.rows.select("doc_id", "n_shingles", "content").join(told, "content", "left")
-    rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    told = classes.where("lo < hi or least <> lo" + (" or linked <> lo" if search.several else "")).select("content", F.col("least").alias("component_id"), "linked")
+    told = materialise(spark, told, "told")
+    rows = search.rows.select("doc_id", "text_key", "n_shingles", "content")
+    rows = split_join(spark, rows, told, "content", "doc_id", s.broadcast_rows, "left")
+    return rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+
+
+def removed_texts(spark: SparkSession, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, text_key of the rows that go so that one text of each component stays: that of the component's doc_id,
+    and of several such texts that of the least hash. Texts that are linked with none stay, whatever their doc_id."""
+    rows = materialise(spark, judged_rows(spark, docs, s), "judged").where("content is not null and doc_id is not null")
+    others = rows.where("doc_id <> component_id").select("doc_id", "text_key")
+    own = rows.where("doc_id = component_id").select("doc_id", "text_key", F.coalesce("linked", F.xxhash64("content")).alias("linked"))
+    several = own.groupBy("doc_id", "linked").agg(F.min("text_key").alias("stays"), F.max("text_key").alias("last")).where("stays < last").drop("last")
+    more = own.join(several, ["doc_id", "linked"]).where("text_key <> stays").select("doc_id", "text_key")
+    return others.union(more).distinct()

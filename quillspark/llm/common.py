@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import let, materialise, shared_dir, sized  # noqa: F401
+
 #: A word: a longest run of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,35 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, a local run gets a temporary folder; a cluster is refused,
-    because a machine-local folder would lose rows there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+#: A key is hot that has more rows than this, and more than a ten-thousandth of all rows.
+HOT_ROWS = 2_000
 
-def materialise(spark: SparkSession, df: DataFrame, name: str, small: bool = False) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again, which cuts its lineage.
 
-    ``small``: the rows are known to be few, so that a few files hold them."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df = df.coalesce(8) if small else df
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def split_join(
+    spark: SparkSession, left: DataFrame, right: DataFrame, key: str, spread: str, broadcast_rows: int, how: str = "inner",
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """``left`` joined with ``right`` by ``key`` (inner, left or left_semi), whatever share of the rows a key has.
 
-
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+    A ``right`` (a written table) of at most ``broadcast_rows`` rows is broadcast. Beyond that, the rows of a hot key of
+    ``left`` are dealt by ``spread`` to as many parts as keep each below ``HOT_ROWS`` or a ten-thousandth of all rows,
+    and every part gets the key's rows of ``right``. ``counted``: a cheaper table of the keys of ``left``."""
+    if right.count() <= broadcast_rows:
+        return left.join(F.broadcast(right), key, how)
+    counts = materialise(spark, (left if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    most = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) // 10_000)
+    hot = counts.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))  # ten thousand at most
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot, parts = F.broadcast(hot), F.col("_parts")
+    dealt = left.join(hot, key, "left").withColumn("_part", F.when(parts.isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), parts)).cast("int"))
+    every = F.when(parts.isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))
+    met = right.join(hot, key, "left").withColumn("_part", F.explode(every))
+    return dealt.drop("_parts").join(met.drop("_parts"), [key, "_part"], how).drop("_part")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -54,11 +48,6 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialise, sized
+from .common import SPACE, let, materialise, split_join
 
 _SYMBOLS = r"[#*$%&|<>]"
 _POSITION_BITS = 24
@@ -75,25 +75,22 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """source, doc_id, text_hash, pos, line (hash), chars: a row per line with a word."""
+    """source, doc_id, text_hash, pos (of all lines), line (hash), chars: a row per line with a word."""
     plain = F.translate(F.lower("text"), "123456789", "000000000")
     lines = F.transform(F.split(plain, "\n"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
-    cut = F.transform(
-        F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("chars"))
-    )
-    rows = docs.select("source", "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(cut).alias("pos", "_x"))
-    return rows.select("source", "doc_id", "text_hash", "pos", "_x.line", "_x.chars")
+    cut = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("line"), F.length(x).alias("chars")))
+    rows = docs.select("source", "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.filter(cut, lambda x: x["chars"] > 0)).alias("_x"))
+    return rows.select("source", "doc_id", "text_hash", "_x.pos", "_x.line", "_x.chars")
 
 
-def part_lines(text: Column, common: Column) -> Column:
-    """Array of whole (a line of ``text``), chars of its normalised form, common (whether its hash is in ``common``)."""
+def without_lines(text: Column, places: Column) -> Column:
+    """``text`` without its lines at ``places``, in time in proportion to its length."""
 
-    def line(x: Column, whole: Column) -> Column:
-        return F.struct(whole.alias("whole"), F.length(x).alias("chars"), ((x != "") & F.array_contains(common, F.xxhash64(x))).alias("common"))
+    def kept(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
-    plain = F.split(F.translate(F.lower(text), "123456789", "000000000"), "\n")
-    trimmed = F.transform(plain, lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
-    return F.zip_with(trimmed, F.split(text, "\n"), line)
+    return let(F.split(text, "\n"), kept)
 
 
 def judge_lines(
@@ -117,11 +114,12 @@ def judge_lines(
         .groupBy("source", "line").count().where(F.col("count") > max_docs)
         .select("source", "line")
     )
-    common = sized(materialise(spark, common, "common-lines"), broadcast_rows)
-    on = lambda a, b, names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
+    # lines of a host by one key; a line that most documents have is dealt to many tasks
+    key = F.xxhash64(F.col("source").isNull(), "source", "line").alias("_key")
+    common = materialise(spark, common.select(key), "common-lines")
+    found = split_join(spark, lines.select("*", key), common, "_key", "doc_id", broadcast_rows, "left_semi", counted=lines.select(key))
     found = (
-        lines.alias("l").join(common.alias("c"), on("l", "c", ["source", "line"]), "left_semi")
-        .groupBy("doc_id", "source", "text_hash").agg(F.collect_set("line").alias("common"))
+        found.groupBy("doc_id", "source", "text_hash").agg(F.collect_set(F.struct("pos", "chars")).alias("common"))
         .withColumnsRenamed({n: f"_{n}" for n in ("doc_id", "source", "text_hash")})
     )
     rows = base_rules(docs).withColumn("text_hash", F.xxhash64("text")).join(
@@ -129,11 +127,8 @@ def judge_lines(
         F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("text_hash") == F.col("_text_hash")),
         "left",
     )
-    rows = rows.withColumn("parts", F.when(F.col("common").isNotNull(), part_lines(F.col("text"), F.col("common"))))
-    cleaned = F.when(F.col("common").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(F.filter("parts", lambda x: ~x["common"]), lambda x: x["whole"]), "\n")
-    )
-    gone = F.aggregate(F.filter("parts", lambda x: x["common"]), F.lit(0), lambda n, x: n + x["chars"])
+    cleaned = F.when(F.col("common").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.transform("common", lambda x: x["pos"])))
+    gone = F.aggregate("common", F.lit(0), lambda n, x: n + x["chars"])
     share = F.when(F.length("text") > 0, F.coalesce(gone / F.length("text"), F.lit(0.0))).otherwise(0.0)
     rows = rows.withColumns({"cleaned": cleaned, "removed": share})
     return rows.select(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import let, materialise
+from .common import HOT_ROWS, let, materialise
 
 _DIGITS = "0123456789abcdefghijklmnopqrstuv"
 _FROM = "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789" + "/.-_?&=#%:;" + "~"
@@ -118,7 +118,7 @@ def whole_grams(url: Column, order: int) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(let(F.split(F.concat(F.lit(START * order), bare), ""), cut))
 
 
-def whole_model(spark: SparkSession, counts: DataFrame, order: int) -> DataFrame:
+def whole_model(spark: SparkSession, counts: DataFrame, order: int, hot_codes: int = HOT_ROWS) -> DataFrame:
     """code, llr as ``model``, of codes that are strings of ``order`` + 1 characters.
 
     Windows of all lengths are counted from the codes at once, a window's context is summed up where its
@@ -126,15 +126,20 @@ def whole_model(spark: SparkSession, counts: DataFrame, order: int) -> DataFrame
     bounded, so none is marked for broadcast; a context has no more windows than there are characters."""
     ends = F.transform(F.sequence(F.lit(0), F.lit(order)), lambda k: F.struct(k.alias("k"), F.right("code", k + 1).alias("end")))
     cut = counts.select("code", "a", "b", F.explode(ends).alias("x")).select("code", "a", "b", "x.k", "x.end")
-    seen = cut.groupBy("end").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    seen = cut.groupBy("end").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("codes"))
     seen = seen.withColumn("context", F.expr("left(end, length(end) - 1)"))
     same = W.partitionBy("context")
     seen = seen.select(
-        "end", "a", "b", *(F.sum(x).over(same).alias(f"n_{x}") for x in "ab"),
+        "end", "codes", "a", "b", *(F.sum(x).over(same).alias(f"n_{x}") for x in "ab"),
         *(F.greatest(F.count_if(F.col(x) > 0).over(same).cast("double"), F.lit(1.0)).alias(f"w_{x}") for x in "ab"),
     )
     seen = materialise(spark, seen, "url-windows")
-    told = cut.select("code", "k", "end").join(seen, "end").groupBy("code").agg(
+    # an ending that many codes have meets them in many tasks: of such there are ten thousand at most
+    most = max(hot_codes, (seen.agg(F.sum("codes")).first()[0] or 0) // 10_000)
+    hot = F.broadcast(materialise(spark, seen.where(F.col("codes") > most), "hot-endings"))
+    cold = cut.select("code", "k", "end").join(hot.select("end"), "end", "left_anti").join(seen.where(F.col("codes") <= most), "end")
+    met = cut.select("code", "k", "end").join(hot, "end").unionByName(cold)
+    told = met.groupBy("code").agg(
         F.sort_array(F.collect_list(F.struct("k", "a", "b", "n_a", "n_b", "w_a", "w_b"))).alias("x")
     )
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, sized
+from .common import materialise, shared_dir, split_join
 
 # Fixed values of the format.
 _SKIPPABLE = 0x184D2A5D
@@ -129,11 +129,10 @@ def unpack(stream) -> Iterator[bytes]:
 
 
 def first_of_equals(spark: SparkSession, pages: DataFrame, s: Settings) -> DataFrame:
-    """page_id, sha1, refers_to for the pages that revisit another; payloads are not shuffled."""
+    """sha1, refers_to (least page_id) of the payloads that several pages have; payloads are not shuffled."""
     keys = pages.select("page_id", "sha1", "payload_bytes").where(F.col("payload_bytes") >= s.least_bytes)
     groups = keys.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
-    groups = groups.where("refers_to < last").select("sha1", "payload_bytes", "refers_to")
-    return sized(materialise(spark, groups, "payload-groups"), s.broadcast_rows)
+    return materialise(spark, groups.where("refers_to < last").select("sha1", "refers_to"), "payload-groups")
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -146,8 +145,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, s: Settings = Settings
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload")})
-    groups = first_of_equals(spark, rows, s)
-    rows = rows.join(groups, ["sha1", "payload_bytes"], "left")
+    # an empty or common page is dealt to many tasks
+    rows = split_join(spark, rows, first_of_equals(spark, rows, s), "sha1", "page_id", s.broadcast_rows, "left", counted=rows.select("sha1"))
     rows = rows.withColumn("refers_to", F.when(F.col("refers_to") < F.col("page_id"), F.col("refers_to")))
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
