@@ -72,6 +72,21 @@ class Request:
             raise ValueError("; ".join(faults))
 
 
+def request_faults(requests: DataFrame) -> DataFrame:
+    """``requests`` (query, limit, offset, mode, sort) with ``faults``: what ``Request`` would say of each row, null if
+    nothing. A null query counts as empty, another null as the default."""
+    known = lambda c, values: F.col(c).isNull() | F.col(c).isin(*values)
+    length = F.length(F.coalesce("query", F.lit("")))
+    said = (
+        (length.between(1, 1000), "query has to have 1 to 1000 characters"),
+        (F.coalesce("limit", F.lit(10)).between(1, 100), "limit has to be 1 to 100"),
+        (F.coalesce("offset", F.lit(0)) >= 0, "offset has to be 0 or more"),
+        (known("mode", MODES), f"mode has to be one of {', '.join(MODES)}"),
+        (known("sort", SORTS), f"sort has to be one of {', '.join(SORTS)}"),
+    )
+    return requests.withColumn("faults", F.nullif(F.concat_ws("; ", *(F.when(~ok, text) for ok, text in said)), F.lit("")))
+
+
 def asked(queries: DataFrame) -> DataFrame:
     """``queries`` (query_id, query) that say something: blank ones have an empty result."""
     return queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")

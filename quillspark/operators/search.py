@@ -8,7 +8,6 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.text import terms
@@ -23,19 +22,12 @@ MOST_VARIANTS = 500_000
 FARTHEST = 8
 #: Letters of a word's beginning whose deletions find it.
 BEGINNING = 8
-#: Folders of the written postings, by the hash of a term.
-BUCKETS = 64
-
 
 def query_blocks(queries: DataFrame) -> list[DataFrame]:
     """``queries`` (query_id and more) in blocks of about ``MOST_QUERIES`` rows by the hash of query_id."""
     return vectors.query_blocks(queries, MOST_QUERIES)
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 @dataclass
 class Postings:
     """The inverted index of ``docs`` (id and the ``attributes``, the most important first), written when first used."""
@@ -45,10 +37,10 @@ class Postings:
 
     @cached_property
     def entries(self) -> DataFrame:
-        """bucket, term, id, attr (0 is the most important): a row per document and word of it, in folders by bucket.
+        """term, id, attr (0 is the most important): a row per document and word of it, in a table bucketed by id.
 
-        The corpus is read and cut into words once. Rows lie in the order of terms, a word of most documents in many
-        files, so that a search reads the folders of the words it has matched."""
+        The corpus is read and cut into words once. All words of a document lie in one bucket, sorted by term, so that a
+        search sums up a document's hits where they lie and hands on the best of each bucket."""
         docs, spark = self.docs, self.docs.sparkSession
         with_attr = lambda words, k: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(k).alias("attr")))
         before, parts = F.array().cast("array<string>"), []
@@ -56,11 +48,11 @@ class Postings:
             own = terms(F.col(a))
             parts.append(with_attr(F.array_except(own, before), k))
             before = own if k == 0 else F.concat(before, own)
-        rows = docs.select("id", F.explode(F.concat(*parts)).alias("x")).select(bucket(F.col("x.term")).alias("bucket"), "x.term", "id", "x.attr")
-        path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
-        rows = rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-        rows.write.partitionBy("bucket").parquet(path)
-        return spark.read.schema(StructType([rows.schema[c] for c in ("term", "id", "attr", "bucket")])).parquet(path)
+        rows = docs.select("id", F.explode(F.concat(*parts)).alias("x")).select("id", "x.term", "x.attr")
+        name, n = f"postings_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = rows.repartition(n, "id").write.bucketBy(n, "id").sortBy("term").option("path", f"{shared_dir(spark)}/{name}")
+        writer.saveAsTable(name)
+        return spark.table(name)
 
     @cached_property
     def vocabulary(self) -> DataFrame:
@@ -68,11 +60,6 @@ class Postings:
         rows = self.entries.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
         return materialise(self.docs.sparkSession, rows, "vocabulary")
 
-    def of(self, words: DataFrame) -> DataFrame:
-        """The entries in the folders of ``words`` (term, a written table); there are ``BUCKETS`` folders at most."""
-        some = [r.bucket for r in words.select(bucket(F.col("term")).alias("bucket")).distinct().collect()]
-        return self.entries.where(F.col("bucket").isin(some) if len(some) < BUCKETS else F.lit(True)).select("term", "id", "attr")
-
     def places(self, ids: DataFrame) -> DataFrame:
         """id, attr, pos, term of the documents ``ids`` (id, a written table) alone."""
         docs, rows = self.docs.join(sized(ids, MOST_WORDS), "id", "left_semi"), None
@@ -144,7 +131,7 @@ def keyword_search(
 
     def search(q: DataFrame) -> DataFrame:
         words = materialise(spark, matched_terms(q, posted.vocabulary), "matched-words")
-        hits = posted.of(words).join(sized(words, MOST_WORDS), "term")
+        hits = posted.entries.join(sized(words, MOST_WORDS), "term")
         best = hits.groupBy("query_id", "id", "qpos").agg(F.min("edits").alias("edits"), F.min("attr").alias("attr"))
         found = best.groupBy("query_id", "id").agg(
             F.count("qpos").alias("words"), F.sum("edits").alias("typos"), F.min("attr").alias("attribute"), F.count_if(F.col("edits") == 0).alias("exact")

@@ -283,7 +283,10 @@ def _candidates(block: DataFrame, index: ApproximateIndex, k: int, probes: int)
     """query_id, id, distance (to what its code stands for): each task's ``k`` nearest codes of each query of a block, of
     the cells that it probes. The folders of other cells are not read."""
     names, queries, kinds, schema = _asked(block, index.vectors)
-    probed = _nearest_rows(index.cells.centres, queries, max(2, probes))[:, :probes]
+    if queries.shape[1] == index.cells.centres.shape[1]:
+        probed = _nearest_rows(index.cells.centres, queries, max(2, probes))[:, :probes]
+    else:  # no vector is indexed, or no query has one
+        probed = np.zeros((len(queries), 1), np.int64)
     shared = index.vectors.sparkSession.sparkContext.broadcast((names, queries, probed, index.cells))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

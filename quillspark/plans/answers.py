@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import filters, rag, search, tasks, vectors
+from ..operators.tables import materialise
 from .catalogue import _SQL, STOP, SYNONYMS, _chats, _chunks, _corpus, _docs, _fulltext, _items, _nearest, _semantic, _tasks, query
 from .corpus import _chunk_vectors
 
@@ -119,14 +120,28 @@ _SQL["semantic_only"] = ", only AS (SELECT query_id, id, round((0.6 / (60 + rank
 @query("""SELECT 'semantic' AS mode, query_id, id, round((1.0::DOUBLE / (60 + rank)) / (1.0::DOUBLE / 61), 4) AS score, rank FROM sem WHERE rank <= 10
 UNION ALL SELECT 'fulltext', query_id, id, round((1.0::DOUBLE / (60 + rank)) / (1.0::DOUBLE / 61), 4), rank FROM ft WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, id, score, rank FROM ranked WHERE rank <= 10""", "fused")
 def h3_modes(spark, sf):
-    legs = lambda: _semantic(spark, sf), lambda: _fulltext(spark, sf)
-    rows = None
+    near, matched = materialise(spark, _semantic(spark, sf), "near"), materialise(spark, _fulltext(spark, sf), "matched")
+    legs, rows = (lambda: near, lambda: matched), None
     for mode in filters.MODES:
         part = search.page(search.by_mode(mode, *legs, filters.MODES), 0, 10).select(F.lit(mode).alias("mode"), "query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
         rows = part if rows is None else rows.union(part)
     return rows
 
 
+@query("""SELECT event_id, nullif(concat_ws('; ', CASE WHEN n NOT BETWEEN 1 AND 1000 THEN 'query has to have 1 to 1000 characters' END, CASE WHEN l NOT BETWEEN 1 AND 100 THEN 'limit has to be 1 to 100' END,
+ CASE WHEN o < 0 THEN 'offset has to be 0 or more' END, CASE WHEN event_type NOT IN ('view', 'click') THEN 'mode has to be one of hybrid, semantic, fulltext' END, CASE WHEN event_id % 3 = 2 THEN 'sort has to be one of created_at, file_size, title' END), '') AS faults
+FROM (SELECT *, event_id % 1100 AS n, user_id % 103 AS l, event_id % 7 - 1 AS o FROM events)""")
+def h13_request_faults(spark, sf):
+    """A table of requests, made of the events, and what is wrong with each."""
+    e, i = spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id")
+    mode = F.when(F.col("event_type") == "view", "hybrid").when(F.col("event_type") == "click", F.lit(None)).otherwise("best")
+    rows = e.select(
+        i, F.repeat(F.lit("q"), (i % 1100).cast("int")).alias("query"), (F.col("user_id") % 103).alias("limit"), (i % 7 - 1).alias("offset"), mode.alias("mode"),
+        F.when(i % 3 == 1, "title").when(i % 3 == 2, "color").alias("sort"),
+    )
+    return filters.request_faults(rows).select("event_id", "faults")
+
+
 @query("""SELECT event_id, round(CASE WHEN s IS NULL THEN 1 - (k % 10) / 10.0::DOUBLE WHEN s BETWEEN 0 AND 1 THEN s ELSE 1 / (1 + abs(s)) END, 9) AS score FROM (
 SELECT event_id, CASE WHEN event_id % 4 > 0 THEN value / CASE WHEN event_id % 2 = 0 THEN 1000 ELSE -50 END END AS s, event_id AS k FROM events)""")
 def h7_normalised_scores(spark, sf):
@@ -184,10 +199,10 @@ def _chunk_context(spark, sf, limit: int = 5, least: float = 0.1):
 def _embedded_items() -> str:
     from .catalogue import _embedded
 
-    return "asked AS (SELECT item_id AS id, coalesce(text, '') AS t FROM benchmark WHERE item_id % 50 = 0),\n " + _embedded("qvec", "asked") + ",\n " + _nearest("semc", "cvec", "qvec")
+    return "asked AS (SELECT item_id AS id, coalesce(text, '') AS t FROM benchmark WHERE item_id % 50 = 0),\n " + _embedded("qvec", "asked")
 
 
-_SQL["near_chunks"] = _embedded_items() + f""",
+_SQL["near_chunks"] = _embedded_items() + ",\n " + _nearest("semc", "cvec", "qvec") + f""",
  scored AS (SELECT query_id, id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, {_SCORE} AS score FROM semc WHERE rank <= 10 AND {_SCORE} >= 0.1),
  taken AS (SELECT query_id, chunk_id, place AS rank, round(score, 4) AS score, doc_id, chunk_index, total_chunks, content FROM scored JOIN chunks USING (chunk_id) WHERE place <= 5)"""
 
@@ -197,6 +212,25 @@ def v7_g2_chunk_context(spark, sf):
     return _chunk_context(spark, sf).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score", "documents")
 
 
+_SQL["near_some_chunks"] = _embedded_items() + """,
+ wanted AS (SELECT v.* FROM cvec v JOIN chunks ON chunk_id = v.id WHERE doc_id % 3 = 0),\n """ + _nearest("semd", "wanted", "qvec")
+
+
+@query(f"SELECT query_id, id, round({_SCORE}, 6) AS score, rank FROM semd WHERE {_SCORE} >= 0.1", "chunks", "chunkvec", "near_some_chunks")
+def v5_chunks_of_documents(spark, sf):
+    """The nearest chunks of the documents asked for: the filter comes before distances, so each query gets its places."""
+    q = _items(spark, sf).select("query_id", vectors.embed(F.col("query")).alias("qvector"))
+    rows = _chunks(spark, sf).where("doc_id % 3 = 0").select(F.col("chunk_id").alias("id"), vectors.embed(F.col("content")).alias("vector"))
+    found = vectors.knn(q, rows, 20, T.chunk_score, 0.1)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, '<em>The</em> ' || source || ', <em>the</em>_ file of <em>the</em> ' || source AS title FROM docs", "docs")
+def f7_marked_titles(spark, sf):
+    title = F.concat(F.lit("The "), "source", F.lit(", the_ file of the "), "source")
+    return _docs(spark, sf).select("doc_id", T.highlight(title, "the").alias("title"))
+
+
 @query("SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, id, score FROM ranked WHERE rank <= 10 AND score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5", "fused")
 def g1_document_context(spark, sf):
     ranked = search.page(search.fuse_ranks(_semantic(spark, sf), _fulltext(spark, sf)), 0, 10)

@@ -343,7 +343,22 @@ def c2_c4_fixed_chunks(spark, sf):
     return _chunks(spark, sf).select("chunk_id", "doc_id", "chunk_index", "total_chunks", "offset_start", "offset_end", "content")
 
 
-@query("")
+def _breaks_sql() -> str:
+    """The chain of windows that end at breaks, one of each text in a step; a break is found in the reversed tail."""
+    ends = ", ".join("CASE WHEN strpos(tail, reverse({0})) > 0 THEN e0 - strpos(tail, reverse({0})) + 1 END".format("'" + b.replace("\n", "' || chr(10) || '") + "'") for b in chunk.BREAKS)
+    return rf"""windows AS (SELECT doc_id, t, length(t) AS n, 0 AS step, 0 AS start, 0 AS stop, '' AS part, 0 AS chunk, -1 AS last_start, 0 AS last_len, 0 AS own FROM norm WHERE t <> ''
+ UNION ALL SELECT doc_id, t, n, step + 1, CASE WHEN c > 0 AND stop - 150 > f THEN stop - 150 ELSE stop END, stop, part, c, f, CASE WHEN part = '' THEN last_len WHEN joins THEN last_len + 1 + length(part) ELSE length(part) END, start
+ FROM (SELECT *, CASE WHEN part = '' OR joins THEN chunk ELSE chunk + 1 END AS c, CASE WHEN part = '' OR joins THEN last_start ELSE start END AS f
+ FROM (SELECT *, chunk > 0 AND length(part) < 300 AND last_len + length(part) + 1 <= 3072 AS joins FROM (SELECT * REPLACE (regexp_replace(substr(t, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS part)
+ FROM (SELECT * REPLACE (CASE WHEN e0 < n THEN coalesce({ends}, e0) ELSE n END AS stop) FROM (SELECT *, reverse(substr(t, greatest(start, e0 - 307) + 2, e0 - greatest(start, e0 - 307) - 1)) AS tail
+ FROM (SELECT *, least(start + 1536, n) AS e0 FROM windows WHERE stop < n)))))))"""
+
+
+_SQL["windows"] = "RECURSIVE " + _SQL["norm"] + ",\n " + _breaks_sql()
+
+
+@query("""SELECT *, count(*) OVER (PARTITION BY doc_id)::INT AS total_chunks, doc_id || '_' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id FROM (
+SELECT doc_id, (chunk - 1)::INT AS chunk_index, min(own)::INT AS offset_start, max(stop)::INT AS offset_end, string_agg(part, ' ' ORDER BY step) AS content FROM windows WHERE part <> '' GROUP BY doc_id, chunk)""", "windows")
 def c2_c3_break_chunks(spark, sf):
     return chunk.break_chunks(_docs(spark, sf))
 

@@ -283,7 +283,7 @@ def c8_delete_chunks(spark, sf):
 @query("SELECT doc_id, chunk_index, chunk_id, content FROM chunks WHERE doc_id % 50 = 0 AND doc_id IN (SELECT doc_id FROM docs)", "docs", "chunks")
 def c9_chunks_of_documents(spark, sf):
     asked = _docs(spark, sf).where("doc_id % 50 = 0").select("doc_id")
-    return _chunks(spark, sf).join(asked, "doc_id", "left_semi").orderBy("doc_id", "chunk_index").select("doc_id", "chunk_index", "chunk_id", "content")
+    return _chunks(spark, sf).join(asked, "doc_id", "left_semi").select("doc_id", "chunk_index", "chunk_id", "content")
 
 
 @query("SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM chunks", "chunks")

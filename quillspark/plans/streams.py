@@ -22,7 +22,7 @@ def _slices(rows: DataFrame, ts: str, n: int = 3) -> list[DataFrame]:
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     low, high = rows.agg(F.min(us), F.max(us)).first()
     step = ((high or 0) - (low or 0)) // n + 1
-    return [rows.where(F.floor((us - F.lit(low)) / step) == k) for k in range(n)]
+    return [rows.where(F.floor((us - F.lit(low or 0)) / step) == k) for k in range(n)]
 
 
 @query("""SELECT path, max(mtime) AS mtime, count(DISTINCT mtime) AS versions FROM (SELECT path, doc_id AS mtime FROM docs UNION ALL SELECT path, doc_id + 1 FROM docs WHERE doc_id % 7 = 0) GROUP BY path""", "docs")
