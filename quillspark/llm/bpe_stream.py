@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 
 @cache
 def joining() -> frozenset[str]:
@@ -171,7 +173,7 @@ class Piece:
 class Encoder:
     """Text in, token ids out as soon as they are stable. ``feed`` takes parts of any size."""
 
-    def __init__(self, model: Model, most_known: int = 400_000, long: int = 512):
+    def __init__(self, model: Model, most_known: int = 200_000, long: int = 512):
         self.model, self.long = model, long
         self.alphabet = byte_alphabet()
         self.known: dict[str, tuple[int, ...]] = {}
@@ -308,7 +310,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, part: i
         model = load(path)
         encoder, decoder = Encoder(model), Decoder(model)
         names = [str(i) for i in range(max(model.names) + 1)]
-        for b in batches:
+        for b in slices(batches):
             n, ids_hash, text_hash, kept = [], [], [], []
             for text in b.column("text").to_pylist():
                 text = text or ""

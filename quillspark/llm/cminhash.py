@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, repeated, sized, split_join
+from .common import materialise, repeated, sized, slices, split_join
 from .shingles import Words, shingles
 
 
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, circulant = Words(), Circulant(s)
-        for b in batches:
+        for b in slices(batches):
             sizes, contents, bands = [], [], []
             for text in _utf8(b):
                 found = np.unique(shingles(words(text or b"")))
@@ -106,7 +106,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in slices(batches):
             sets = [np.unique(shingles(words(t or b""))) for t in _utf8(b)]
             digests = pa.array([xxhash.xxh3_128_digest(x) if len(x) else None for x in sets], pa.binary())
             columns = [b.column("doc_id"), digests, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,15 @@ def split_join(
     return dealt.drop("_parts").join(met.drop("_parts"), [key, "_part"], how).drop("_part")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """``batches`` in parts of at most ``rows`` rows, so that a task holds little beside its input; what Arrow has kept
+    goes back when the task is done."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def repeated(rows: DataFrame) -> DataFrame:
     """The doc_ids that several rows have."""
     return rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

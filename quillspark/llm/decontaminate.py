@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
 from .shingles import WIDTH, Words, mix, shingles
 
 _KNOWN_BITS = 18
@@ -238,7 +239,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, s: Sett
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, index = Words(_PUNCTUATION), shared.value
-            for b in batches:
+            for b in slices(batches):
                 rows: list[list] = [[], [], [], []]
                 texts = [words(text or b"") for text in b.column("text").cast(pa.binary()).to_pylist()]
                 for doc_id, hits in zip(b.column("doc_id").to_pylist(), index.find_all(texts)):
@@ -261,7 +262,7 @@ def without_items(spark: SparkSession, docs: DataFrame, items: DataFrame, s: Set
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, index = Words(_PUNCTUATION), shared.value
-            for b in batches:
+            for b in slices(batches):
                 texts = [words(text or b"") for text in b.column("text").cast(pa.binary()).to_pylist()]
                 yield b.filter(pa.array([not hits for hits in index.find_all(texts)], pa.bool_()))
 

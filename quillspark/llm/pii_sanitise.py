@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, sized
+from .common import materialise, sized, slices
 
 #: Kinds of spans in the order in which spans of one start are listed.
 BASE = ("email", "ip", "card", "phone")
@@ -49,7 +49,7 @@ class Settings:
     count of documents, more are joined to it; ``broadcast_rows``: the same of tables of pairs and of texts."""
 
     window: int = 8
-    support: int = 3
+    support: int = 2
     generalise: float = 0.7
     remove: float = 0.9
     known: int = 500_000
@@ -136,7 +136,7 @@ def observe(docs: DataFrame, s: Settings) -> DataFrame:
     of ``near``, wherever they stand): a row per document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc_id, key, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_id", "text"))):
                 spans = base_spans(text or "")
@@ -162,7 +162,7 @@ def document_counts(docs: DataFrame, candidates: DataFrame, s: Settings) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column("text").to_pylist():
                 found = set(map(str.lower, _TERM.findall(text or "")))
                 counts.update(found if known.value is None else found & known.value)

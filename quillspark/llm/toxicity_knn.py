@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
 from .fm_quality import labelled_sample
 
 _TERM = re.compile(r"[^\W\d_]+")
@@ -167,7 +168,7 @@ def document_frequencies(spark: SparkSession, docs: DataFrame, vocabulary: list[
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, n = shared.value, 0
         counts = np.zeros(len(ids) + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text in b.column("text").to_pylist():
                 n += 1
                 here = ids.keys() & set(_TERM.findall((text or "").lower()))
@@ -203,7 +204,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, index: Index) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [index.score(t) for t in b.column("text").to_pylist()]
             evidence = [
                 json.dumps([[int(index.doc_ids[i]), round(s, 6), int(index.labels[i])] for s, i in near[:3]]) for _, near in found
@@ -222,7 +223,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, index: Index, least: flo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([index.score(t)[0] < least for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
