@@ -114,6 +114,12 @@ def _asked(block: DataFrame, vectors: DataFrame) -> tuple[list, np.ndarray, list
     return got["query_id"].to_pylist(), matrix(got["qvector"].combine_chunks()), [to_arrow_type(t) for t in kinds], schema
 
 
+def _few_tasks(rows: DataFrame) -> DataFrame:
+    """``rows`` in two tasks a core at most, each of which reads many splits one after another and hands on its best once:
+    what is shuffled follows the cluster's size, not the table's."""
+    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _batches(best: Nearest, names: list, kinds: list) -> Iterator[pa.RecordBatch]:
     for q, distance, near in best.rows():
         columns = [pa.array([names[q]] * len(near), kinds[0]), pa.array(near.tolist(), kinds[1]), pa.array(distance)]
@@ -133,7 +139,8 @@ def _search(block: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 best.add(b.column("id").to_numpy(zero_copy_only=False), matrix(b.column("vector")))
         yield from _batches(best, names, kinds)
 
-    return vectors.select("id", "vector").where("vector is not null").mapInArrow(run, schema)
+    rows = _few_tasks(vectors.select("id", "vector").where("vector is not null"))
+    return rows.mapInArrow(run, schema)
 
 
 def _ranked(parts: list[DataFrame], k: int, score, least: float | None) -> DataFrame:
@@ -148,7 +155,7 @@ def _ranked(parts: list[DataFrame], k: int, score, least: float | None) -> DataF
 def knn(queries: DataFrame, vectors: DataFrame, k: int, score=document_score, least: float | None = None) -> DataFrame:
     """query_id, id, distance, score, rank: the ``k`` nearest of ``vectors`` (id, vector) for each row of
     ``queries`` (query_id, qvector), by squared distance, ties by id. Filters belong on ``vectors``; the corpus is
-    read once for each block of queries and not shuffled: each task hands on the best ``k`` of a query. Null
+    read once for each block of queries and not shuffled: each of a few tasks hands on the best ``k`` of a query. Null
     vectors are neither queries nor neighbours."""
     return _ranked([_search(block, vectors, k) for block in query_blocks(queries)], k, score, least)
 
@@ -302,7 +309,7 @@ def _candidates(block: DataFrame, index: ApproximateIndex, k: int, probes: int)
 
     some = [int(c) for c in np.unique(probed)]
     rows = index.codes.where(F.col("cell").isin(some) if len(some) < len(index.cells.centres) else F.lit(True))
-    return rows.select("id", "code", "cell").mapInArrow(run, schema)
+    return _few_tasks(rows.select("id", "code", "cell")).mapInArrow(run, schema)
 
 
 def approximate_knn(
