@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import search
 from tests.test_search import ASKED, DOCS, brute_keywords
@@ -50,3 +51,14 @@ def test_deletions_of_near_words_meet():
         less = word[: at[0]] + word[at[0] + 1 : at[1]] + word[at[1] + 1 :]
         mine, other = ({int(h[0]) for _, h in search.deletions(np.array([w], object))} for w in (word, less))
         assert mine & other
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_many_ties_are_handed_on(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "MOST_TIES", most)
+    monkeypatch.setattr(search, "MOST_CELLS", 1)
+    docs = spark.createDataFrame([(i, "t", "red fox" if i % 3 else "red") for i in range(60)], "id long, title string, content string")
+    size = docs.select("id", (-F.col("id")).alias("key"))
+    queries = spark.createDataFrame([(1, "red fox"), (2, "red")], "query_id long, query string")
+    got = search.keyword_search(queries, search.postings(docs, ("title", "content")), 4, sort=size).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(1, 59), (1, 58), (1, 56), (1, 55), (2, 59), (2, 58), (2, 57), (2, 56)]
